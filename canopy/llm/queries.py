@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, host_rules, sharding
+from . import chat, decontaminate, host_rules, minhash, sharding
 
 QUERIES = {
+    "op1_dart_minhash": minhash.query,
     "op3_chat_windows": chat.query,
     "op7_positional_decontamination": decontaminate.query,
     "op9_host_rules": host_rules.query,
