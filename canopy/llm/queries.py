@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, host_rules, minhash, sharding
+from . import chat, decontaminate, host_rules, minhash, pieces, sharding
 
 QUERIES = {
     "op1_dart_minhash": minhash.query,
+    "op2_suffix_array_pieces": pieces.query,
     "op3_chat_windows": chat.query,
     "op7_positional_decontamination": decontaminate.query,
     "op9_host_rules": host_rules.query,
