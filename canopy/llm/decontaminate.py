@@ -103,12 +103,19 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     return d
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    d = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+def judge(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
+    """doc_id, n_words, n_hit, items (with occurring windows), near (others that come close), contaminated."""
+    d = find(documents, benchmark, **names)
     d = d.withColumn("items", F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))")).withColumn("n_hit", F.expr(COVERED.format("hits")).cast("long"))
+    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return d.select("doc_id", "n_words", "n_hit", "items", F.array_except("near", "items").alias("near"), bad.alias("contaminated"))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    d = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return d.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.size(F.array_except("near", "items")).cast("long").alias("n_near_items"),
+        "contaminated", F.size("near").cast("long").alias("n_near_items"),
     )
 
 
