@@ -5,7 +5,8 @@ its rarest positions are anchors. The index holds the postings (document, positi
 terms over the whole corpus. A posting and a place of its term in an item give an alignment
 (document, item, offset); postings that agree on an alignment are the intersection of the
 offset-adjusted lists. Alignments on which all anchors of some window meet are compared word by
-word with the text. Alignments within `slop` words of each other count as proximity matches.
+word with the text: exact phrases. Two anchors of an item that come within `slop` words of their
+places are a proximity match.
 
 Cases: null texts have no words; an item of fewer words than a window is one window; items without
 words are never found; a window with a term that the corpus lacks can't occur; repeated rows of
@@ -62,20 +63,30 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.join(common.maybe_broadcast(terms, F.octet_length("term") + 16), "term", "left_semi")
 
 
-def alignments(index: DataFrame, anchored: DataFrame) -> DataFrame:
-    """doc_id, item, shift and the item places met: the intersected, offset-adjusted lists."""
+def aligned(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    """doc_id, item, at, shift: a posting of an anchor term, and where its item would begin if the
+    term is the one at place `at`; postings of one shift are the intersected, offset-adjusted lists."""
     places = anchored.select("item", "iw", F.explode(F.array_distinct(F.flatten("wins.as"))).alias("at")).select("item", "at", F.get("iw", F.col("at")).alias("term"))
-    met = index.join(common.maybe_broadcast(places, F.octet_length("term") + 32), "term").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
-    return met.groupBy("doc_id", "item", "shift").agg(F.collect_set("at").alias("met"))
+    return index.join(common.maybe_broadcast(places, F.octet_length("term") + 32), "term").select("doc_id", "item", "at", (F.col("pos") - F.col("at")).alias("shift"))
+
+
+def proximate(met: DataFrame, slop: int) -> DataFrame:
+    """doc_id, item: two anchors of the item at least come within `slop` words of their places.
+
+    Shifts that differ by at most slop share one of two overlapping ranges."""
+    k = F.floor(F.col("shift") / slop)
+    return met.select("doc_id", "item", "at", F.explode(F.array(k, k - 1)).alias("k")).groupBy("doc_id", "item", "k").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("a <> z").select("doc_id", "item").distinct()
 
 
 #: Intervals (b, e), sorted: how many places their union covers.
 COVERED = "aggregate({0}, named_struct('n', 0, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(x.e - greatest(x.b, a.e), 0), 'e', greatest(a.e, x.e)), a -> a.n)"
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, hits (item, b, e: exact phrases, places in the document), near (items that come close)."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_words, hits (item, b, e: exact phrases, places in the document), near (items that
+    come close), and with `carry` the whole row of documents as `row`."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if carry else []
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
     items = windows_of(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")), window)
     # Items of the same id but other texts are separate; they are numbered by their words.
     items = items.distinct().withColumn("name", F.col("item")).withColumn("item", F.xxhash64("item", "iw"))
@@ -84,22 +95,23 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     freq = common.save(term_frequency(docs, terms), "term-frequency")
     anchored = common.save(anchors(items, freq).join(names, "item"), "anchors")
     wanted = common.save(anchored.select(F.explode(F.flatten("wins.as")).alias("at"), "iw").select(F.get("iw", F.col("at")).alias("term")).distinct(), "anchor-terms")
-    al = alignments(postings(docs, wanted), anchored)
+    met = common.save(aligned(postings(docs, wanted), anchored), "met")
     whole = F.broadcast(anchored) if common.small(anchored, 2048) else anchored
-    # Two of the item's anchors at least (one, if it has one) must meet on or near an alignment.
-    c = al.join(whole, "item").withColumn("full", F.expr("exists(wins, w -> size(array_except(w.as, met)) = 0)"))
-    near = F.expr("size(met) >= 2") | F.col("full")
-    c = c.where(near).select("doc_id", F.struct(F.col("name").alias("item"), "shift", "wl", "iw", "full").alias("c"))
-    cand = common.save(c.groupBy(F.col("doc_id").alias("cand_id")).agg(F.sort_array(F.collect_list("c")).alias("cs")), "alignments")
-    few = common.small(cand, F.lit(24) + F.size("cs") * 640)
-    d = docs.select("doc_id", words(F.col("text")).alias("dw"))
+    c = met.groupBy("doc_id", "item", "shift").agg(F.collect_set("at").alias("met")).join(whole, "item")
+    c = c.where("exists(wins, w -> size(array_except(w.as, met)) = 0)")
+    c = c.select("doc_id", F.struct(F.col("name").alias("item"), "shift", "wl", "iw").alias("c"), F.lit(None).cast("string").alias("near"))
+    close = proximate(met, slop).join(common.maybe_broadcast(names, F.octet_length("name") + 16), "item").select("doc_id", F.lit(None).cast(c.schema["c"].dataType).alias("c"), F.col("name").alias("near"))
+    c = c.union(close).groupBy(F.col("doc_id").alias("cand_id")).agg(F.sort_array(F.collect_list("c")).alias("cs"), F.collect_set("near").alias("near"))
+    cand = common.save(c, "alignments")
+    few = common.small(cand, F.lit(24) + F.size("cs") * 640 + F.size("near") * 32)
+    d = docs.select("doc_id", words(F.col("text")).alias("dw"), *["row"] * carry)
     d = d.join(F.broadcast(cand) if few else cand, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
     # Row-local: the places of the item that agree with the text on this alignment, then the runs of wl of them.
-    same = "transform(filter(cs, c -> c.full), c -> named_struct('item', c.item, 'shift', c.shift, 'wl', c.wl, 'ok', transform(c.iw, (x, i) -> coalesce(get(dw, i + c.shift) = x, false))))"
+    same = "transform(cs, c -> named_struct('item', c.item, 'shift', c.shift, 'wl', c.wl, 'ok', transform(c.iw, (x, i) -> coalesce(get(dw, i + c.shift) = x, false))))"
     d = d.withColumn("cmp", F.expr(same))
     run = "filter(sequence(0, size(m.ok) - m.wl), b -> forall(slice(m.ok, b + 1, m.wl), y -> y))"
     hits = f"flatten(transform(cmp, m -> transform({run}, b -> named_struct('b', b + m.shift, 'e', b + m.shift + m.wl, 'item', m.item))))"
-    d = d.select("doc_id", F.size("dw").cast("long").alias("n_words"), F.expr(f"coalesce(array_sort({hits}), cast(array() AS array<struct<b: int, e: int, item: string>>))").alias("hits"), F.expr("coalesce(array_distinct(transform(cs, c -> c.item)), cast(array() AS array<string>))").alias("near"))
+    d = d.select("doc_id", F.size("dw").cast("long").alias("n_words"), F.expr(f"coalesce(array_sort({hits}), cast(array() AS array<struct<b: int, e: int, item: string>>))").alias("hits"), F.expr("coalesce(array_sort(near), cast(array() AS array<string>))").alias("near"), *["row"] * carry)
     return d
 
 
@@ -108,7 +120,25 @@ def judge(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     d = find(documents, benchmark, **names)
     d = d.withColumn("items", F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))")).withColumn("n_hit", F.expr(COVERED.format("hits")).cast("long"))
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return d.select("doc_id", "n_words", "n_hit", "items", F.array_except("near", "items").alias("near"), bad.alias("contaminated"))
+    more = ["hits", "row"] if names.get("carry") else []
+    return d.select("doc_id", "n_words", "n_hit", "items", F.array_except("near", "items").alias("near"), bad.alias("contaminated"), *more)
+
+
+def cut_out(text: Column, hits: Column) -> Column:
+    """The text without the words of the hits (b, e), and without the gap behind each of them."""
+    gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    parts = F.regexp_extract_all(text, F.lit(f"([^{gap}]+|[{gap}]+)"), F.lit(1))
+    lead = F.when(F.regexp_like(text, F.lit(f"^[{gap}]")), 1).otherwise(0)
+    kept = F.filter(parts, lambda p, j: ~F.exists(hits, lambda h: (j >= 2 * h["b"] + lead) & (j < 2 * h["e"] + lead)))
+    return F.array_join(kept, "")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """documents without the contaminated ones; from others with hits, the words hit are cut out."""
+    d = judge(documents, benchmark, text_col=text_col, carry=True, **names).where(~F.col("contaminated"))
+    own = F.col("row").getField(text_col)
+    text = F.when(F.col("n_hit") > 0, cut_out(own, F.col("hits"))).otherwise(own)
+    return d.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in documents.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

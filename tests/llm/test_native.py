@@ -96,6 +96,32 @@ def brute_hits(docs, items, window=13):
     return Counter(out)
 
 
+def brute_cut(text, items, window=13):
+    """The text without words in windows of the items, and the gaps behind those words."""
+    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    words = [text[a:b].translate({c: c + 32 for c in range(65, 91)}) for a, b in spans]
+    wins = set()
+    for _, x in items:
+        w = GAP.findall((x or "").translate({c: c + 32 for c in range(65, 91)}))
+        n = min(window, len(w))
+        wins |= {tuple(w[b : b + n]) for b in range(len(w) - n + 1 if w else 0)}
+    hit = {i for n in {len(k) for k in wins} for b in range(len(words) - n + 1) if tuple(words[b : b + n]) in wins for i in range(b, b + n)}
+    ends = [a for a, _ in spans[1:]] + [len(text)]
+    return text[: spans[0][0] if spans else len(text)] + "".join(text[a:e] for i, ((a, _), e) in enumerate(zip(spans, ends)) if i not in hit)
+
+
+def test_words_are_cut_out(spark):
+    long, p = "lorem ipsum " * 200, " ".join(f"Wörd{i}" for i in range(14))
+    texts = [long + p, p + " " + long, f"-- {long}({p}), {p}! End.", long, "", None, "...", p, f"{long}{p.upper()}\n{long}{p} x"]
+    items = [(1, p), (2, None), (3, "nothing of this kind")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", decontaminate.F.lit("r")).withColumn("hits", decontaminate.F.lit(1))
+    got = {r.doc_id: r.text for r in decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    bad = {k[0] for k in brute_hits(list(enumerate(texts)), items) if k[5]}
+    assert bad == {2, 7} or bad == {7}
+    assert got == {i: t and brute_cut(t, items) for i, t in enumerate(texts) if i not in bad}
+    assert got[0] == long and got[1] == long and "Wörd" not in got[8]
+
+
 def decontaminated(spark, docs, items, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
@@ -113,6 +139,15 @@ def test_decontaminate_cases(spark, tmp_path):
     assert decontaminated(spark, [], items, tmp_path) == Counter()
 
 
+def test_proximity(spark):
+    p = [f"w{i}" for i in range(20)]
+    swapped = " ".join(p[:4] + ["x", "y"] + p[4:9] + ["z"] + p[9:])
+    docs = spark.createDataFrame([(1, " ".join(p)), (2, swapped), (3, "w3 " + "q " * 60 + "w9"), (4, "none of them")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(p))], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.near) for r in decontaminate.judge(docs, items).collect()}
+    assert got == {1: (["5"], []), 2: ([], ["5"]), 3: ([], []), 4: ([], [])}
+
+
 def test_decontaminate_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
