@@ -38,7 +38,7 @@ def detect_chunks(path: str) -> list[str]:
 class Engine:
     def __init__(self, spark: SparkSession, algorithm: str = "md5", magics=(wire.MAGIC, wire.MAGIC_ZSTD)):
         self.spark, self.algorithm, self.magics = spark, algorithm, magics
-        spark.dataSource.register(tree.TreeSource)
+        tree.register(spark)
 
     # tables
 

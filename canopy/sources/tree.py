@@ -13,7 +13,6 @@ import stat
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
 from ..errors import InvalidRoot
-from ..functions.hashing import xxh3_hex
 from ..schema import SNAPSHOT
 
 READ = 1 << 20
@@ -135,6 +134,12 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
+def register(spark) -> None:
+    """Make the format known to the session, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TreeSource)
+
+
 def contents(paths, root: str, fragment: int = 32 << 20):
     """CONTENT rows (chunk_index 0) of the given files, read in pieces by the executors; paths: DataFrame (path)."""
 
@@ -150,6 +155,3 @@ def contents(paths, root: str, fragment: int = 32 << 20):
                         offset, n = offset + len(block), n + 1
 
     return paths.select("path").mapInPandas(run, "path string, chunk_index int, frag_no int, offset bigint, length bigint, bytes binary")
-
-
-__all__ = ["TreeSource", "contents", "entry", "file_hash", "xxh3_hex"]
