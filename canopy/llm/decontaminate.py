@@ -124,20 +124,21 @@ def judge(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     return d.select("doc_id", "n_words", "n_hit", "items", F.array_except("near", "items").alias("near"), bad.alias("contaminated"), *more)
 
 
-def cut_out(text: Column, hits: Column) -> Column:
-    """The text without the words of the hits (b, e), and without the gap behind each of them."""
-    gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-    parts = F.regexp_extract_all(text, F.lit(f"([^{gap}]+|[{gap}]+)"), F.lit(1))
-    lead = F.when(F.regexp_like(text, F.lit(f"^[{gap}]")), 1).otherwise(0)
-    kept = F.filter(parts, lambda p, j: ~F.exists(hits, lambda h: (j >= 2 * h["b"] + lead) & (j < 2 * h["e"] + lead)))
-    return F.array_join(kept, "")
-
-
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """documents without the contaminated ones; from others with hits, the words hit are cut out."""
-    d = judge(documents, benchmark, text_col=text_col, carry=True, **names).where(~F.col("contaminated"))
-    own = F.col("row").getField(text_col)
-    text = F.when(F.col("n_hit") > 0, cut_out(own, F.col("hits"))).otherwise(own)
+    """documents without the contaminated ones; from others with hits, the words hit and the gap
+    behind each of them are cut out."""
+    d = judge(documents, benchmark, text_col=text_col, carry=True, **names)
+    own, hit = F.col("row").getField(text_col), F.col("n_hit") > 0
+    gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    # Words and gaps take turns, so word i is part 2i, or 2i + 1 behind a leading gap.
+    lead = F.when(F.regexp_like(F.substring(own, 1, 1), F.lit(f"[{gap}]")), 1).otherwise(0)
+    d = d.withColumn("parts", F.when(hit, F.regexp_extract_all(own, F.lit(f"([^{gap}]+|[{gap}]+)"), F.lit(1))))
+    d = d.withColumn("cuts", F.when(hit, F.transform("hits", lambda h: F.struct((2 * h["b"] + lead).alias("b"), (2 * h["e"] + lead).alias("e")))))
+    # Pushed below these arrays, or merged with what is above, their expressions would be evaluated
+    # anew for each element of another. A filter isn't moved past an expression of no fixed value.
+    d = d.withColumn("fence", F.monotonically_increasing_id()).where(~F.col("contaminated") & (F.col("fence") >= 0))
+    kept = F.filter("parts", lambda p, j: ~F.exists("cuts", lambda c: (j >= c["b"]) & (j < c["e"])))
+    text = F.when(hit, F.array_join(kept, "")).otherwise(own)
     return d.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in documents.columns])
 
 
