@@ -32,9 +32,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Spans of a unit up to which all units are relaxed side by side; longer ones use a heap.
 WIDE = 64
-#: Units remembered by a Python worker, and symbols indexed at once (a single unit may be longer).
-REMEMBERED = 600_000
-SYMBOLS = 400_000
+#: Units in each of a Python worker's two generations of memory, and symbols indexed at once (a
+#: single unit may be longer).
+REMEMBERED = 60_000
+SYMBOLS = 100_000
 
 
 class Model:
@@ -88,6 +89,7 @@ class Encoder:
     def __init__(self, model: Model):
         self.m = model
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the last generation: units of use move on to `known`
         self.table = np.zeros((len(model.texts), model.depth), np.int64)
         for r, t in enumerate(model.texts):
             self.table[r, : len(t)] = [ord(c) for c in t]
@@ -239,10 +241,14 @@ class Encoder:
         """All ids, and their number for each text."""
         cut = [self.units(t) for t in texts]
         known = self.known
+        if len(known) > REMEMBERED:
+            self.before, self.known = known, {}
+            known = self.known
         new = {u for units in cut for u in units if u not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {u for units in cut for u in units}
+        if self.before:
+            seen = new & self.before.keys()
+            known.update((u, self.before[u]) for u in seen)
+            new -= seen
         some, room = [], SYMBOLS
         for u in new:
             some.append(u)
