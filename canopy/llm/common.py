@@ -62,6 +62,18 @@ def maybe_broadcast(df: DataFrame, bytes_per_row: Column | int = 64) -> DataFram
     return F.broadcast(df) if small(df, bytes_per_row) else df
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker has freed back to the system, as idle workers stay around."""
+    import ctypes
+    from contextlib import suppress
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def search_tree(key: Column, bounds: list, lo: int = 0) -> Column:
     """How many of the sorted bounds are <= key, as a balanced tree of comparisons."""
     if not bounds:

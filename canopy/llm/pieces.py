@@ -299,6 +299,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
                 if decoded_col:
                     columns.append(pa.array([None if t is None else enc.decode(ids[a:b].tolist()) for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        common.release_memory()
 
     return docs.mapInArrow(run, T.StructType(fields))
 

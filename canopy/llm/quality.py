@@ -222,6 +222,7 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", score_col: st
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + [pa.array(forest.predict(batch_statistics(batch.column(at))))], schema.names)
+        common.release_memory()
 
     return docs.mapInArrow(run, schema)
 
