@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it has at most this many rows and bytes; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: What a batch between Spark and a Python worker holds at most, if the session sets no bound.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,16 +64,60 @@ def maybe_broadcast(df: DataFrame, bytes_per_row: Column | int = 64) -> DataFram
     return F.broadcast(df) if small(df, bytes_per_row) else df
 
 
-def release_memory() -> None:
-    """Give memory that a Python worker has freed back to the system, as idle workers stay around."""
-    import ctypes
-    from contextlib import suppress
+def lean(run):
+    """A mapInArrow function whose Python worker stays small.
 
-    import pyarrow as pa
+    Workers outlive their tasks. Large arrays and Arrow's buffers are kept out of the C heap, so that
+    freed memory goes back to the system at once, and the heap is trimmed at the task's end."""
 
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):  # another C library than glibc
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    def wrapped(batches):
+        import ctypes
+        from contextlib import suppress
+
+        import pyarrow as pa
+
+        libc = None
+        with suppress(OSError, AttributeError):  # another C library than glibc
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 16)  # M_MMAP_THRESHOLD: fixed, else it grows with what was freed
+            libc.mallopt(-8, 1)  # M_ARENA_MAX
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        if libc is not None:
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, where its session sends Python a few MB at a time, unless it has a bound of its own."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) by lean workers over small batches."""
+    return bounded_batches(df).mapInArrow(lean(run), schema)
+
+
+def slices(batches, column: int, size: int = 1 << 20, fixed: int = 64):
+    """The batches in slices of about `size` bytes of the text in `column`, and whole rows.
+
+    fixed: what a row counts beside its text."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        begin, n = 0, batch.num_rows
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        while begin < n:
+            end, room = begin, size
+            while end < n and (end == begin or room >= lengths[end] + fixed):
+                room -= lengths[end] + fixed
+                end += 1
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def search_tree(key: Column, bounds: list, lo: int = 0) -> Column:

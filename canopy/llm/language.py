@@ -157,7 +157,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
                     g, n = np.unique(grams(mine[a:b])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["l", "g", "n"])
 
-    seen = common.save(some.mapInArrow(run, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
+    seen = common.save(common.in_arrow(some, run, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = {r["l"]: r["n"] for r in seen.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     total = F.coalesce(*[F.when(F.col("l") == k, F.lit(float(v))) for k, v in totals.items()], F.lit(1.0))
     got = seen.withColumn("s", F.col("n") / total).where((F.col("s") >= SHARE) & (F.col("n") > 1)).select("l", "g", "s").toArrow()
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", pred_col:
                 found, score = shared.value.predict(some.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(i) for i in places] + [pa.array(found, pa.string()), pa.array(score)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

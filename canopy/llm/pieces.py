@@ -32,9 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Spans of a unit up to which all units are relaxed side by side; longer ones use a heap.
 WIDE = 64
-#: Units in each of a Python worker's two generations of memory, and symbols indexed at once (a
-#: single unit may be longer).
-REMEMBERED = 60_000
+#: Symbols in the units of each of a Python worker's two generations of memory, and symbols indexed
+#: at once (a single unit may be longer).
+REMEMBERED = 400_000
 SYMBOLS = 100_000
 
 
@@ -89,11 +89,14 @@ class Encoder:
     def __init__(self, model: Model):
         self.m = model
         self.known: dict[str, bytes] = {}
+        self.held = 0  # symbols of `known`
         self.before: dict[str, bytes] = {}  # the last generation: units of use move on to `known`
         self.table = np.zeros((len(model.texts), model.depth), np.int64)
         for r, t in enumerate(model.texts):
             self.table[r, : len(t)] = [ord(c) for c in t]
         self.piece_lens = np.array([len(t) for t in model.texts], np.int64)
+        self.alphabet, at = np.unique(self.table, return_inverse=True)  # 0, the end of a piece, comes first
+        self.table = at.reshape(self.table.shape).astype(np.int32)
         self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if model.apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def units(self, text: str) -> list[str]:
@@ -111,22 +114,25 @@ class Encoder:
         a separator may order suffixes, but no piece reaches over one."""
         depth = self.m.depth
         letters = np.unique(codes[inside])
-        usable = np.isin(letters, self.table)
-        number = np.where(usable, np.cumsum(usable), usable.sum() + 1)
-        bits = 8 if usable.sum() < 254 else 16
-        s = np.zeros(len(codes) + depth, np.int64)
-        s[: len(codes)][inside] = number[np.searchsorted(letters, codes[inside])]
+        usable = letters[np.isin(letters, self.alphabet)]
+        bits = 8 if len(usable) < 254 else 16
+        at = np.minimum(np.searchsorted(usable, codes), max(len(usable) - 1, 0))
+        s = np.zeros(len(codes) + depth, np.int32)
+        s[: len(codes)][inside] = (np.where(usable[at] == codes, at + 1, len(usable) + 1) if len(usable) else np.ones(len(codes), np.int64))[inside]
         suffixes = np.lib.stride_tricks.sliding_window_view(s, depth)[: len(codes)]
         words = keys_of(suffixes, bits)
         order = np.lexsort(words[::-1])
         keys = as_bytes([w[order] for w in words])
-        letters, number = letters[usable], number[usable]
-        found = np.minimum(np.searchsorted(letters, self.table), len(letters) - 1) if len(letters) else np.zeros_like(self.table)
-        known = (letters[found] == self.table) if len(letters) else np.zeros(self.table.shape, bool)
-        rows = np.flatnonzero((known | (self.table == 0)).all(1))
-        wanted = np.where(self.table[rows] > 0, number[found[rows]] if len(letters) else 0, 0)
+        del words
+        # Pieces whose letters all occur, in the same numbers.
+        number = np.full(len(self.alphabet), -1, np.int32)
+        number[0] = 0
+        number[np.searchsorted(self.alphabet, usable)] = np.arange(1, len(usable) + 1)
+        wanted = number[self.table]
+        rows = np.flatnonzero((wanted >= 0).all(1))
+        wanted = wanted[rows]
         low = as_bytes(keys_of(wanted, bits))
-        high = as_bytes(keys_of(np.where(self.table[rows] > 0, wanted, 2**bits - 1), bits))
+        high = as_bytes(keys_of(np.where(wanted > 0, wanted, 2**bits - 1), bits))
         lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
         count = hi - lo
         at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
@@ -241,14 +247,16 @@ class Encoder:
         """All ids, and their number for each text."""
         cut = [self.units(t) for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
-            self.before, self.known = known, {}
+        if self.held > REMEMBERED:
+            self.before, self.known, self.held = known, {}, 0
             known = self.known
         new = {u for units in cut for u in units if u not in known}
         if self.before:
             seen = new & self.before.keys()
             known.update((u, self.before[u]) for u in seen)
             new -= seen
+            self.held += sum(map(len, seen))
+        self.held += sum(map(len, new))
         some, room = [], SYMBOLS
         for u in new:
             some.append(u)
@@ -289,19 +297,16 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
 
     def run(batches):
         enc = encoder(shared)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                some = batch.slice(begin, 1000)
-                texts = some.column(at).to_pylist()
-                ids, n = enc.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                columns = [some.column(i) for i in keep_at] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
-                if decoded_col:
-                    columns.append(pa.array([None if t is None else enc.decode(ids[a:b].tolist()) for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-        common.release_memory()
-
-    return docs.mapInArrow(run, T.StructType(fields))
+        for some in common.slices(batches, at):
+            texts = some.column(at).to_pylist()
+            ids, n = enc.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            columns = [some.column(i) for i in keep_at] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+            if decoded_col:
+                columns.append(pa.array([None if t is None else enc.decode(ids[a:b].tolist()) for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return common.in_arrow(docs, run, T.StructType(fields))
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

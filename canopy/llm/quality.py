@@ -7,8 +7,9 @@ children, through which all rows of a batch descend together.
 
 Cases: a null text is an empty text, which is scored like any other; labels without a text or a
 quality are not learned from, a document with several labels takes the lowest; without labels
-all scores are 0.5; repeated rows score alike; an empty table gives an empty result; labels, lang,
-source and doc_id are no inputs of a score; extra columns are kept by score() unless they take the
+all scores are 0.5; repeated rows score alike; an empty table gives an empty result; a very long
+text is measured whole, in one step of its own; labels, lang, source and doc_id are no inputs of a
+score; extra columns are kept by score() unless they take the
 result's name.
 """
 
@@ -25,6 +26,8 @@ from . import common
 #: At most this many labelled documents are learned from: those whose hashed id is smallest.
 SAMPLE = 20_000
 CUT = 0.3
+#: Bytes of text whose statistics are computed at once (a single text may be longer).
+STEP = 256 << 10
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".?", "bang": b"!",
            "comma": b",;:", "bar": b"|", "symbol": b"#*$%&<>", "tag": b"{}[]()=/\\_~^+@", "quote": b"'\"`-", "high": bytes(range(0xC0, 0x100)), "tail": bytes(range(0x80, 0xC0))}
@@ -111,8 +114,8 @@ def batch_statistics(texts: pa.Array) -> np.ndarray:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
     out = [np.zeros((0, len(NAMES)))]
     begin = 0
-    while begin < len(texts):  # a few MB at a time, and whole texts
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (4 << 20), "right")) - 1)
+    while begin < len(texts):  # whole texts, as temporary arrays take some 50 bytes for each of their bytes
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + STEP, "right")) - 1)
         end = min(end, len(texts))
         out.append(statistics(data, offsets[begin : end + 1].copy()))
         begin = end
@@ -134,7 +137,7 @@ class Forest:
         return self.base + self.value[at].sum(1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        parts = [1 / (1 + np.exp(-self.raw(x[i : i + 2000]))) for i in range(0, len(x), 2000)]
+        parts = [1 / (1 + np.exp(-self.raw(x[i : i + 1000]))) for i in range(0, len(x), 1000)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -200,12 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t IS NOT NULL").join(F.broadcast(own), "_id").select("_id", "_y", "_t")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 2):
             s = batch_statistics(batch.column(2))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), s.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["_id", "_y", "x"])
 
-    got = rows.mapInArrow(run, T.StructType([rows.schema["_id"], rows.schema["_y"], T.StructField("x", T.ArrayType(T.DoubleType()))])).toArrow()
+    got = common.in_arrow(rows, run, T.StructType([rows.schema["_id"], rows.schema["_y"], T.StructField("x", T.ArrayType(T.DoubleType()))])).toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(NAMES)) if got.num_rows else np.zeros((0, len(NAMES)))
     y = (np.asarray(got["_y"]) > 0).astype(float)
     # Ids may come in any order; sums of floats shouldn't depend on it.
@@ -220,11 +223,10 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", score_col: st
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, at):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + [pa.array(forest.predict(batch_statistics(batch.column(at))))], schema.names)
-        common.release_memory()
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
