@@ -236,7 +236,7 @@ def labelled(seed: int = 0, n: int = 660) -> list[str]:
         for _ in range(pick([1, 1, 2, 2, 3, 4, 5, 6, 7])):
             k = r.random()
             if k < 0.55:
-                t = " ".join(some(LONG, 1, 3))
+                t = " ".join(some(LONG, 1, pick([2, 3, 12])))
                 out.append(f"<p>{MARK}{t}" + (f" <a href=x>{pick(TITLES)}</a>" if r.random() < 0.2 else ""))
             elif k < 0.8:
                 out.append(f"<p>{MARK}{pick(SHORT)}</p>")
