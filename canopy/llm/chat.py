@@ -1,18 +1,26 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned windows. A leading system turn
-is repeated in each window, followed by at most `history` repeated turns as far as the budget
-allows; repeated turns carry no loss. A window is rendered as
+Prefix sums of turn tokens cut a conversation into turn-aligned windows. Of the budget without the
+system turn, as much is set aside as the conversation's longest turn takes (half at most) and as
+the repeated turns take (a quarter at most); a turn belongs to the window in whose stretch of what
+is left its prefix sum falls, so that no window exceeds the budget. A turn of over half the budget
+has a window of its own. A leading system turn is repeated in each window, followed by at most
+`history` repeated turns as far as the budget allows; repeated turns carry no loss. A window is
+rendered as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
 for each turn. Inside texts and roles, `<\\` becomes `<\\\\` and `<|` becomes `<\\|` (and a line
 break in a role `<\\n`), which can be undone, so `<|` occurs in control strings only.
 
+All of it is window functions over one exchange by conversation. A row never holds more than one
+window, so a conversation of any number of turns takes no more memory than a short one (its digest
+in read_back() needs all its text at once, by its definition).
+
 Cases: a null text or role is empty; rows of a conversation are ordered by turn, then role, then
 text, so ties and repeated rows have one order and all stay; a null conv_id is one conversation;
-a turn that alone exceeds the budget gets a window of its own and isn't cut; an empty table gives
-no windows; other columns are ignored.
+a turn that alone exceeds the budget, however long, gets a window of its own and isn't cut; an empty
+table gives no windows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,53 +48,61 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.ceil(F.length(text) / 4)).cast("long")
 
 
-def windows(df: DataFrame, budget: int = 1024, history: int = 2, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, window, formatted, loss (spans of code points), n_context, n_turns, n_tokens."""
+def windows(df: DataFrame, budget: int = 1024, history: int = 2, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """conv_id, window, formatted, loss (spans of code points), n_context, n_turns, n_tokens.
+
+    tokens_col: a column with the tokens of each text by the model's own tokenizer; without one,
+    token_count() estimates them. A turn takes 4 more for its control strings."""
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("<\\n")), F.lit("\n"))
-    t = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("raw"), head.alias("head"), escape(text).alias("body"))
-    t = t.withColumn("tok", token_count(F.col("body")) + 4).withColumn("len", F.length("head") + F.length("body") + len(END))
-    upto = W.partitionBy("conv_id").orderBy("turn", "role", "raw").rowsBetween(W.unboundedPreceding, 0)
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "raw")
-    t = t.select(
-        "conv_id",
-        F.struct(
-            (F.row_number().over(order) - 1).alias("i"),
-            (F.col("role") == TRAINED).alias("own"),
-            (F.col("role") == "system").alias("sys"),
-            F.concat("head", "body", F.lit(END)).alias("out"),
-            F.length("head").alias("hl"),
-            F.length("body").alias("bl"),
-            F.sum("tok").over(upto).alias("pt"),
-            F.sum("len").over(upto).alias("pl"),
-        ).alias("t"),
-    )
-    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    c = c.selectExpr("conv_id", "ts", "CASE WHEN ts[0].sys THEN 1 ELSE 0 END AS s")
-    c = c.selectExpr("*", "CASE WHEN s = 1 THEN ts[0].pt ELSE 0L END AS st", "CASE WHEN s = 1 THEN ts[0].pl ELSE 0L END AS sl")
-    before = "coalesce(get(ts, x.i - {0} - 1).pt, 0L)"
-    chosen = " ".join(f"WHEN x.i - {h} >= s AND st + x.pt - {before.format(h)} <= {budget} THEN {h}" for h in range(history, 0, -1))
-    chosen = f"(CASE {chosen} ELSE 0 END)" if chosen else "0"
-    # base: tokens before the window's first turn. The first window starts at turn 0, with the system turn.
-    fold = f"""aggregate(slice(ts, 2, greatest(size(ts) - 1, 0)), named_struct('base', 0L, 'free', 0L, 'cut', array(named_struct('f', 0, 'h', 0))),
-      (a, x) -> CASE WHEN x.pt - a.base + a.free <= {budget} THEN a
-        ELSE named_struct('base', coalesce(get(ts, x.i - {chosen} - 1).pt, 0L), 'free', st, 'cut', a.cut || array(named_struct('f', x.i, 'h', {chosen}))) END,
-      a -> a.cut)"""
-    c = c.withColumn("cut", F.expr(fold))
-    w = c.select("conv_id", "ts", "s", "st", "sl", F.size("cut").alias("n"), F.posexplode("cut").alias("window", "c"), F.expr("cut").alias("cuts"))
-    w = w.selectExpr(
-        "conv_id", "window", "ts", "c.f AS f", "c.h AS h", "coalesce(get(cuts, window + 1).f, size(ts)) AS e",
-        "CASE WHEN window > 0 THEN s ELSE 0 END AS rs", "CASE WHEN window > 0 THEN st ELSE 0L END AS rt", "CASE WHEN window > 0 THEN sl ELSE 0L END AS rl",
-    )
-    w = w.withColumn("z", F.expr("coalesce(get(ts, f - h - 1).pl, 0L) - rl")).withColumn("zt", F.expr("coalesce(get(ts, f - h - 1).pt, 0L) - rt"))
-    return w.selectExpr(
+    tokens = token_count(F.col("body")) if tokens_col is None else F.coalesce(F.col("given"), F.lit(0)).cast("long")
+    given = [F.col(tokens_col).alias("given")] if tokens_col else []
+    t = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("raw"), head.alias("head"), escape(text).alias("body"), *given)
+    t = t.withColumn("tok", tokens + 4)
+    conv = W.partitionBy("conv_id")
+    order = conv.orderBy("turn", "role", "raw")
+    t = t.withColumn("i", F.row_number().over(order) - 1).withColumn("end", F.sum("tok").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    system = (F.col("i") == 0) & (F.col("role") == "system")
+    all_ = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = t.withColumn("s", system).withColumn("st", F.coalesce(F.max(F.when(system, F.col("tok"))).over(all_), F.lit(0)))
+    t = t.withColumn("longest", F.max(F.when(~F.col("s"), F.col("tok"))).over(all_)).withColumn("total", F.max("end").over(all_))
+    t = t.withColumn("room", F.greatest(F.lit(budget) - F.col("st"), F.lit(4)))
+    t = t.withColumn("most", F.least("longest", F.expr("room div 2")))
+    t = t.withColumn("stretch", F.expr(f"room - most - least({history} * most, room div 4)"))
+    # The prefix sum begins behind the system turn; a conversation that fits has one window.
+    t = t.withColumn("slot", F.when(F.col("s") | (F.col("total") <= budget), F.lit(0).cast("long")).otherwise(F.expr("(end - tok - st) div stretch")))
+    alone = (F.col("tok") > F.col("most")) & ~F.col("s") & (F.col("total") > budget)
+    t = t.withColumn("alone", alone)
+    before = lambda c: F.lag(c).over(order)
+    fresh = (F.col("i") > 0) & ~before("s") & ((F.col("slot") != before("slot")) | F.col("alone") | before("alone"))
+    t = t.withColumn("first", F.coalesce(fresh, F.lit(False)))
+    t = t.withColumn("window", F.sum(F.col("first").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    # From here on the order is by window, then as before: the same order, and one of each window.
+    own = W.partitionBy("conv_id", "window").orderBy("turn", "role", "raw").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = t.withColumn("wend", F.max("end").over(own))
+    by = conv.orderBy("window", "turn", "role", "raw")
+    places = [F.struct("window", F.lit(False).alias("context"))]
+    for d in range(1, history + 1):
+        ahead = lambda c, d=d: F.lead(c, d).over(by)
+        fits = ahead("first") & (ahead("wend") - F.col("end") + F.col("tok") <= F.col("room")) & ~F.col("s")
+        places.append(F.when(fits, F.struct(ahead("window").alias("window"), F.lit(True).alias("context"))))
+    last = F.max("window").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    t = t.withColumn("places", F.array_compact(F.array(*places))).withColumn("last", last)
+    repeated = F.when(F.col("s") & (F.col("last") > 0), F.transform(F.sequence(F.lit(1), F.greatest("last", F.lit(1))), lambda w: F.struct(w.alias("window"), F.lit(True).alias("context"))))
+    t = t.withColumn("places", F.concat("places", F.coalesce(repeated, F.array().cast(t.schema["places"].dataType))))
+    t = t.select("conv_id", "i", (F.col("role") == TRAINED).alias("own"), F.concat("head", "body", F.lit(END)).alias("out"), F.length("head").alias("hl"), F.length("body").alias("bl"), "tok", F.explode("places").alias("p"))
+    t = t.select("conv_id", F.col("p.window").alias("window"), F.col("p.context").alias("context"), "i", "own", "out", "hl", "bl", "tok")
+    upto = W.partitionBy("conv_id", "window").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(F.length("out")).over(upto), F.lit(0)) + F.col("hl"))
+    w = t.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("i", "context", "own", "out", "at", "bl"))).alias("ts"), F.sum("tok").alias("n_tokens"))
+    return w.select(
         "conv_id",
         "window",
-        "concat_ws('', CASE WHEN rs = 1 THEN ts[0].out ELSE '' END, transform(slice(ts, f - h + 1, e - f + h), x -> x.out)) AS formatted",
-        f"transform(filter(slice(ts, f + 1, e - f), x -> x.own), x -> struct(x.pl - z - {len(END)} - x.bl AS start, x.bl AS length)) AS loss",
-        "rs + h AS n_context",
-        "rs + h + e - f AS n_turns",
-        "ts[e - 1].pt - zt AS n_tokens",
+        F.array_join("ts.out", "").alias("formatted"),
+        F.transform(F.filter("ts", lambda x: x["own"] & ~x["context"]), lambda x: F.struct(x["at"].alias("start"), x["bl"].alias("length"))).alias("loss"),
+        F.size(F.filter("ts", lambda x: x["context"])).alias("n_context"),
+        F.size("ts").alias("n_turns"),
+        "n_tokens",
     )
 
 

@@ -68,6 +68,33 @@ def test_chat_windows_keep_budget_system_and_history(spark):
     assert rows(chat.windows(df.limit(0))) == []
 
 
+def test_chat_query(spark):
+    by = {-1: [(0, "user", HOSTILE[0]), (1, "assistant", HOSTILE[0])]}
+    for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    got = rows(chat.query(spark, "/root/testdata/sf0.01"))
+    assert len(got) == len(by)
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == {c: brute_chat(t) for c, t in by.items()}
+    # With one window, what is formatted can be said directly.
+    esc = lambda x: (x or "").replace("<\\", "<\\\\").replace("<|", "<\\|")
+    ones = [r for r in got if r["n_windows"] == 1]
+    assert any(r["conv_id"] == -1 for r in ones)
+    for r in ones:
+        assert r["formatted_chars"] == sum(len(f"<|im_start|>{esc(role)}\n{esc(x)}<|im_end|>\n") for _, role, x in by[r["conv_id"]])
+
+
+def test_chat_of_many_turns(spark):
+    df = spark.range(6000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id = 0 THEN 'system' WHEN id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role", "repeat('word ', CAST(1 + id % 300 AS INT)) AS text")
+    w = chat.windows(df).cache()
+    f = w.selectExpr("max(n_tokens) AS m", "count(*) AS n", "sum(n_turns - n_context) AS turns", "min(CASE WHEN window > 0 THEN n_context END) AS c", "avg(n_tokens) AS a").first()
+    assert f.m <= 1024 and f.turns == 6000 and f.c >= 1 and f.n > 1000 and f.a > 500
+    got = chat.read_back(w).first()
+    own = "".join("word " * (1 + i % 300) for i in range(2, 6000, 2))
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (6000, len(own), sha(own))
+    counted = chat.windows(df.limit(50).withColumn("n", chat.F.lit(600)), tokens_col="n")
+    assert counted.selectExpr("max(n_turns - n_context)").first()[0] == 1
+
+
 # decontamination
 
 GAP = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
