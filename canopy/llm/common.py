@@ -64,6 +64,13 @@ def maybe_broadcast(df: DataFrame, bytes_per_row: Column | int = 64) -> DataFram
     return F.broadcast(df) if small(df, bytes_per_row) else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def lean(run):
     """A mapInArrow function whose Python worker stays small.
 
@@ -120,11 +127,17 @@ def slices(batches, column: int, size: int = 1 << 20, fixed: int = 64):
             begin = end
 
 
-def search_tree(key: Column, bounds: list, lo: int = 0) -> Column:
-    """How many of the sorted bounds are <= key, as a balanced tree of comparisons."""
+def search(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are <= key: a binary search whose expression is as long as the
+    bounds' logarithm, over one literal array."""
     if not bounds:
-        return F.lit(lo)
-    mid = len(bounds) // 2
-    return F.when(key < F.lit(bounds[mid]), search_tree(key, bounds[:mid], lo)).otherwise(
-        search_tree(key, bounds[mid + 1 :], lo + mid + 1)
-    )
+        return F.lit(0)
+    at = F.array(*[F.lit(b).cast("long") for b in bounds])
+    place = F.lit(0)
+    step = 1 << (len(bounds).bit_length() - 1)
+    steps = []
+    while step:
+        steps.append(F.lit(step))
+        step >>= 1
+    # place is the number found so far; it moves on by a step if that many bounds are <= key.
+    return F.aggregate(F.array(*steps), place, lambda n, s: F.when(F.get(at, n + s - 1) <= key, n + s).otherwise(n))

@@ -8,7 +8,7 @@ count is corrected for the false positives that the language's fill makes expect
 Cases: a null text, or one without a letter, is `und` with score 0; so is any text if nothing was
 learned; a text that matches no language gets the commonest one with score 0; ties go to the
 commoner language, then by name; null langs aren't learned from; repeated rows are judged alike; an
-empty table gives an empty result; lang, source and doc_id are no inputs of a prediction; extra
+empty table gives an empty result; a very long text is read whole, in one step; lang, source and doc_id are no inputs of a prediction; extra
 columns are kept by predict() unless they take a result's name.
 """
 
@@ -25,9 +25,9 @@ from . import common
 #: About this many documents a language are learned from (all of a language that has fewer).
 SAMPLE = 3000
 SIZES = (2, 3, 4)
-#: An n-gram is taken if it makes up this share of a language's n-grams, so a language has at
-#: most 1 / SHARE, and if no other language has it RARER times as often.
-SHARE, RARER = 2e-5, 8
+#: An n-gram belongs to a language if it makes up this share of its n-grams, so a language has at
+#: most 1 / SHARE of them.
+SHARE = 2e-5
 CELLS, PROBES = 1 << 20, 3
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
@@ -160,14 +160,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     seen = common.save(common.in_arrow(some, run, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "grams")
     totals = {r["l"]: r["n"] for r in seen.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     total = F.coalesce(*[F.when(F.col("l") == k, F.lit(float(v))) for k, v in totals.items()], F.lit(1.0))
-    got = seen.withColumn("s", F.col("n") / total).where((F.col("s") >= SHARE) & (F.col("n") > 1)).select("l", "g", "s").toArrow()
+    got = seen.withColumn("s", F.col("n") / total).where((F.col("s") >= SHARE) & (F.col("n") > 1)).select("l", "g").toArrow()
     common.forget(seen)
-    lang, g, s = np.array(got["l"].to_pylist(), object), np.asarray(got["g"]).view(U), np.asarray(got["s"])
-    which, inverse = np.unique(g, return_inverse=True)
-    most = np.zeros(len(which))
-    np.maximum.at(most, inverse, s)
-    ok = s * RARER >= most[inverse] if len(s) else np.zeros(0, bool)
-    return Filters(names, [g[ok & (lang == k)] for k in names])
+    lang, g = np.array(got["l"].to_pylist(), object), np.asarray(got["g"]).view(U)
+    return Filters(names, [g[lang == k] for k in names])
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", drop_text: bool = False) -> DataFrame:
@@ -178,8 +174,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", pred_col:
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                some = batch.slice(begin, 2000)
+            for some in common.slices([batch], at):
                 found, score = shared.value.predict(some.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(i) for i in places] + [pa.array(found, pa.string()), pa.array(score)], schema.names)
 

@@ -1,14 +1,16 @@
 """Sharding by histogram sort.
 
-Rows get a 63-bit key. Exact bytes below candidate key boundaries are counted across all
-partitions; only the bins that hold a wanted splitter are probed again, more finely, until
-each splitter is within tolerance or its bin is one key wide. Then the rows are exchanged
-once, into blocks of which a fixed number makes a shard.
-
-Cases: a null text has no bytes (size = 16, crc32 of the empty text); a null doc_id is kept
-like any other; repeated rows share the upper 43 bits of the key but differ in the lower 20,
-so that a group of copies of any size can be split; an empty table gives an empty result;
-columns of the input other than those named are ignored.
+Rows get a 63-bit key: a hash of the text, then one of the row, so that equal texts stand together
+and even a group of copies of any size can be split. Exact bytes below candidate key boundaries are
+counted across all partitions; only the bins that hold a wanted splitter are probed again, more
+finely, until each splitter is within tolerance or its bin is one key wide. Then the rows are
+exchanged once, into blocks of which a number that grows with the rows makes a shard.
+
+Cases: a null text has no bytes (size = 16, crc32 of the empty text); a null doc_id is kept like any
+other; repeated rows share the upper 43 bits of the key but differ in the lower 20; a very long text
+is a row of its size, and a shard may exceed the mean by the longest; an empty table gives an empty
+result; extra columns are ignored by assign() and kept by write_shards() unless they take the name
+of a result.
 """
 
 from __future__ import annotations
@@ -22,21 +24,25 @@ from . import common
 
 #: Probes counted in one pass.
 PROBES = 4096
-#: Blocks of a shard: the unit of the one exchange and of numbering slots.
-BLOCKS = 4
+#: Blocks of a shard, the unit of the one exchange and of numbering slots: so many at least, and
+#: as many as keep their rows near this number.
+BLOCKS, BLOCK_ROWS = 4, 200_000
 TIE_BITS = 20
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and the sort key. The key scatters documents evenly."""
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 and the sort key of each row; with `carry` the whole row as `row`.
+
+    The lower bits differ between repeated rows by a number of the row, so this is written before use."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1 + TIE_BITS)
-    tie = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE_BITS)
+    spread = F.shiftrightunsigned(F.xxhash64(text), 1 + TIE_BITS)
+    tie = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), 64 - TIE_BITS)
     return df.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.shiftleft(spread, TIE_BITS).bitwiseOR(tie).alias("key"),
+        *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []),
     )
 
 
@@ -57,7 +63,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.002, probes: int
         each = max(2, probes // len(todo))
         width = [max(1, -(-(b - a) // each)) for a, b, _, _ in todo]
         starts, ends = [t[0] for t in todo], [t[1] for t in todo]
-        at = common.search_tree(F.col("key"), starts) - 1
+        at = common.search(F.col("key"), starts) - 1
         array = lambda values: F.array(*[F.lit(v) for v in values])
         sums = (
             rows.where((F.col("key") >= starts[0]) & (F.col("key") < ends[-1]))
@@ -92,38 +98,42 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.002, probes: int
     return [found[s] for s in range(parts - 1)]
 
 
-def assign(df: DataFrame, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: every row once, slots gapless from 0."""
-    rows = common.save(keyed(df, id_col, text_col), "shard-keys")
-    bounds = splitters(rows, shards * BLOCKS, tolerance * BLOCKS)
+def placed(rows: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """rows of keyed(), written, with shard and slot: the one exchange is by block."""
+    n = rows.count()
+    each = max(BLOCKS, -(-n // (shards * BLOCK_ROWS)))
+    bounds = splitters(rows, shards * each, tolerance * each)
     if not bounds:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    rows = rows.withColumn("block", common.search_tree(F.col("key"), bounds))
+        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+    rows = rows.withColumn("block", common.search(F.col("key"), bounds))
     sizes = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}
     before, offsets = 0, []
-    for i in range(shards * BLOCKS):
-        before = 0 if i % BLOCKS == 0 else before
+    for i in range(shards * each):
+        before = 0 if i % each == 0 else before
         offsets.append(before)
         before += sizes.get(i, 0)
     within = F.row_number().over(W.partitionBy("block").orderBy("key", "doc_id", "text_crc32"))
-    return rows.withColumn("n", within).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.floor(F.col("block") / BLOCKS).cast("int").alias("shard"),
-        (F.get(F.array(*[F.lit(x) for x in offsets]).cast(T.ArrayType(T.LongType())), F.col("block")) + F.col("n") - 1).alias("slot"),
-    )
+    offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("block"))
+    return rows.withColumn("n", within).withColumn("shard", F.floor(F.col("block") / each).cast("int")).withColumn("slot", offset + F.col("n") - 1).drop("n")
+
+
+def assign(df: DataFrame, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: every row once, slots gapless from 0."""
+    rows = common.save(keyed(df, id_col, text_col), "shard-keys")
+    return placed(rows, shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of df as one folder a shard, rows ordered by slot; returns assign()'s table.
+def write_shards(df: DataFrame, path: str, shards: int = 40, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the rows of df as one folder a shard, with their slots; returns the table written.
 
-    Here doc_id must be unique, as the assignment is joined back by it."""
-    placed = common.save(assign(df, shards, id_col=id_col, text_col=text_col), "shards")
-    extra = [c for c in df.columns if c not in ("shard", "slot")]
-    out = df.select(*extra).join(placed.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    out.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return placed
+    Whole rows travel with their keys, so that the exchange by block is the only one and ids may be
+    null or repeated."""
+    rows = common.save(keyed(df, id_col, text_col, carry=True), "shard-rows")
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    out = placed(rows, shards, tolerance).select(*[F.col("row").getField(c).alias(c) for c in kept], "slot", "shard")
+    out.write.partitionBy("shard").parquet(path)
+    common.forget(rows)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 
 from canopy.llm import chat, decontaminate, host_rules, sharding
@@ -175,6 +177,18 @@ def test_proximity(spark):
     assert got == {1: (["5"], []), 2: ([], ["5"]), 3: ([], []), 4: ([], [])}
 
 
+def test_common_terms_make_few_alignments(spark, tmp_path):
+    docs = [(i, "the and " * 500) for i in range(4)] + [(9, "the and or " * 300)]
+    items = [(i, ("the and " * 30)[: 8 * 20 + i % 2 * 4]) for i in range(30)] + [(99, "and or the " * 6)]
+    assert decontaminated(spark, docs, items, tmp_path) == brute_hits(docs, items)
+    d, b = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    wins = decontaminate.common.save(decontaminate.windows_of(b.selectExpr("cast(item_id AS string) AS item", "text")), "w")
+    terms = decontaminate.common.save(wins.selectExpr("explode(split(phrase, ' ')) AS term").distinct().withColumn("id", decontaminate.F.monotonically_increasing_id()), "t")
+    index = decontaminate.common.save(decontaminate.postings(d, terms), "i")
+    moved = decontaminate.aligned(index, decontaminate.anchors(wins, terms, index))
+    assert index.count() == 4900 and moved.count() <= 10 * 4900
+
+
 def test_decontaminate_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -217,6 +231,11 @@ def test_host_verdict_takes_its_documents(spark):
     assert len(kept) == len(data)
     assert all(kept[i] == bool(i % 10) for i in range(200)) and not any(kept[1000 + i] for i in range(200))
     assert kept[2000] and not kept[2001] and kept[2002]
+    con = duckdb.connect()
+    documents = pd.DataFrame(data, columns=["doc_id", "text", "source"])  # noqa: F841
+    want = con.execute(host_rules.SQL.replace("FROM documents", "FROM documents")).fetchall()
+    got = host_rules.apply(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == Counter(want) and sum(not r[-1] and not r[-2] for r in want) > 5
     assert host_rules.apply(df.limit(0)).collect() == []
 
 
@@ -239,6 +258,24 @@ def test_shards_of_copies_and_nulls(spark):
     got = sharding.assign(spark.createDataFrame(data, "doc_id long, text string"), 10).collect()
     sizes = check_shards(got, data, 10)
     assert max(sizes) <= 1.05 * min(sizes)
+    copies = {r.shard for r in got if r.size == 66}
+    assert copies == set(range(min(copies), max(copies) + 1))  # equal texts stand together
+
+
+def test_shards_of_table_are_near_equal(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    sizes = check_shards(sharding.query(spark, "/root/testdata/sf0.01").collect(), data, 40)
+    most = max(len((t or "").encode()) + 16 for _, t in data)
+    assert max(sizes) - min(sizes) <= 2 * most and sum(sizes) == sum(len((t or "").encode()) + 16 for _, t in data)
+    # One very long text, and as many blocks as rows ask for.
+    odd = [(1, "x" * 1_000_000)] + [(i, f"text {i}") for i in range(2000)]
+    sharding.BLOCK_ROWS, old = 20, sharding.BLOCK_ROWS
+    try:
+        sizes = check_shards(sharding.assign(spark.createDataFrame(odd, "doc_id long, text string"), 10).collect(), odd, 10)
+    finally:
+        sharding.BLOCK_ROWS = old
+    assert max(sizes) >= 1_000_016
 
 
 def test_shards_small(spark):
@@ -249,7 +286,11 @@ def test_shards_small(spark):
 
 
 def test_write_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * i, "k") for i in range(50)], "doc_id long, text string, slot string")
-    sharding.write_shards(df, f"{tmp_path}/out", 4)
-    back = spark.read.parquet(f"{tmp_path}/out")
-    assert back.count() == 50 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    data = [(i, "t" * i, "k", i) for i in range(50)] + [(None, None, "k", 50), (7, "again", None, 51), (7, "again", None, 52)]
+    df = spark.createDataFrame(data, "doc_id long, text string, slot string, row int")
+    back = sharding.write_shards(df, f"{tmp_path}/out", 4).collect()
+    assert Counter((r.doc_id, r.text, r.row) for r in back) == Counter((i, t, k) for i, t, _, k in data)
+    for shard in range(4):
+        assert sorted(r.slot for r in back if r.shard == shard) == list(range(sum(r.shard == shard for r in back)))
+    plan = sharding.placed(sharding.common.save(sharding.keyed(df, carry=True), "t"), 4, 0.002)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
