@@ -27,7 +27,7 @@ SAMPLE = 3000
 SIZES = (2, 3, 4)
 #: An n-gram belongs to a language if it makes up this share of its n-grams, so a language has at
 #: most 1 / SHARE of them.
-SHARE = 2e-5
+SHARE = 1e-4
 CELLS, PROBES = 1 << 20, 3
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)

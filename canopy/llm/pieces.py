@@ -114,7 +114,7 @@ class Encoder:
         a separator may order suffixes, but no piece reaches over one."""
         depth = self.m.depth
         letters = np.unique(codes[inside])
-        usable = letters[np.isin(letters, self.alphabet)]
+        usable = letters[np.isin(letters, self.alphabet[1:])]
         bits = 8 if len(usable) < 254 else 16
         at = np.minimum(np.searchsorted(usable, codes), max(len(usable) - 1, 0))
         s = np.zeros(len(codes) + depth, np.int32)
