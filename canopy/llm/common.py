@@ -74,8 +74,9 @@ def free(df: DataFrame, name: str) -> str:
 def lean(run):
     """A mapInArrow function whose Python worker stays small.
 
-    Workers outlive their tasks. Large arrays and Arrow's buffers are kept out of the C heap, so that
-    freed memory goes back to the system at once, and the heap is trimmed at the task's end."""
+    Workers outlive their tasks. Arrays of several MB and Arrow's buffers are kept out of the C heap or
+    handed back at once, and the heap is trimmed at the task's end. (Lower thresholds save no memory
+    and cost page faults: with 64 KB, encoding pieces took 2.5 times as long.)"""
 
     def wrapped(batches):
         import ctypes
@@ -86,7 +87,8 @@ def lean(run):
         libc = None
         with suppress(OSError, AttributeError):  # another C library than glibc
             libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 16)  # M_MMAP_THRESHOLD: fixed, else it grows with what was freed
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows with what was freed
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
             libc.mallopt(-8, 1)  # M_ARENA_MAX
         pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)

@@ -17,7 +17,7 @@ def brute(spark, data):
     forest = quality.train(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
     x = quality.batch_statistics(pa.array([r.text for r in docs.values()]))
     rows = [(i, r.source, r.text) for (i, r), s in zip(docs.items(), x) if test_quality.walk(forest, s) >= 0.3]
-    rows = sorted((i, t) for i, t, _ in test_lines.brute(rows, line_frequency.RATIO, line_frequency.MIN_PAGES))
+    rows = sorted((i, t) for i, t, _ in test_lines.brute(rows, line_frequency.RATIO, line_frequency.SURE))
     rows = [(i, t) for (i, t), (_, c) in zip(rows, test_minhash.brute(rows)) if i == c]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     leaks = {k[0] for k in test_native.brute_hits(rows, items) if k[5]}
