@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import SparkSession
 
+    from . import storage
     from .engine import Engine
 
     o = parser().parse_args(argv)
@@ -48,8 +49,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif o.command == "apply":
             out = engine.apply(o.root, o.diff)
         else:
-            found = engine.verify(o.root, o.diff, o.snapshot).orderBy("path", "category")
-            for r in found.toLocalIterator():
+            found = storage.save(engine.verify(o.root, o.diff, o.snapshot), "found")
+            for r in found.orderBy("path", "category").toLocalIterator():
                 print(f"{r.category.upper()}: {r.path} ({r.detail})")
             from .operators.verify import line_count
 

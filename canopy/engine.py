@@ -44,23 +44,39 @@ class Engine:
 
     def scan(self, root: str, previous: DataFrame | None = None, rehash: bool = False, partitions: int = 32) -> DataFrame:
         """The tree under root with hashes and directory hashes. Files whose size and second are those
-        of `previous` keep its hash, unless `rehash`."""
+        of `previous` keep its hash, unless `rehash`. What can't be read is left out."""
+        return self.walk(root, previous, rehash, partitions)[0]
+
+    def walk(self, root: str, previous: DataFrame | None = None, rehash: bool = False, partitions: int = 32) -> tuple[DataFrame, DataFrame]:
+        """scan(), and all rows of the walk: with `reused`, and those of kind 'error'."""
         if not os.path.isdir(root):
             raise InvalidRoot(f"not a directory: {root!r}")
-        read = self.spark.read.format("tree").option("root", root).option("partitions", partitions)
+        read = self.spark.read.format("tree").option("root", root).option("partitions", partitions).option("errors", "rows")
         if previous is None or rehash:
-            walked = read.option("hash", self.algorithm).load()
+            walked = read.option("hash", self.algorithm).load().withColumn("reused", F.lit(False))
         else:
             bare = storage.save(read.option("hash", "none").load(), "walk")
             known, todo = reuse.split_by_reuse(bare, storage.save(previous, "previous"))
             root_, algorithm = os.path.realpath(root), self.algorithm
 
-            @F.pandas_udf(T.StringType())
+            @F.pandas_udf("hash string, problem string")
             def hashed(path):
-                return path.map(lambda p: tree.file_hash(os.path.join(root_, p), algorithm))
+                import pandas as pd
 
-            walked = known.select(*SNAPSHOT.names).unionByName(todo.withColumn("hash", hashed("path")).select(*SNAPSHOT.names))
-        return merkle.with_dir_hashes(storage.save(walked, "walk"), self.algorithm)
+                found = []
+                for p in path:
+                    try:
+                        found.append((tree.file_hash(os.path.join(root_, p), algorithm), None))
+                    except OSError as e:
+                        found.append((None, str(e)))
+                return pd.DataFrame(found, columns=["hash", "problem"])
+
+            fresh = todo.withColumn("h", hashed("path")).withColumn("hash", F.col("h.hash")).withColumn("reused", F.lit(False))
+            gone = F.col("h.problem").isNotNull()
+            fresh = fresh.withColumn("kind", F.when(gone, "error").otherwise(F.col("kind"))).withColumn("symlink_target", F.when(gone, F.col("h.problem")).otherwise(F.col("symlink_target")))
+            walked = known.select(*SNAPSHOT.names, "reused").unionByName(fresh.select(*SNAPSHOT.names, "reused"))
+        walked = storage.save(walked, "walk")
+        return merkle.with_dir_hashes(walked.where("kind <> 'error'").select(*SNAPSHOT.names), self.algorithm), walked
 
     def load_snapshot(self, path: str) -> DataFrame:
         """A Parquet snapshot, or a file in the record format."""
@@ -100,9 +116,9 @@ class Engine:
 
     def snapshot(self, root: str, out: str, previous: str | None = None, compress: bool = False, record_format: bool = False) -> dict:
         before = self.load_snapshot(previous) if previous else None
-        found = storage.save(self.scan(root, before), "snapshot")
-        self.save_snapshot(found, out, root, record_format, compress)
-        return reuse.stats(found).first().asDict()
+        found, walked = self.walk(root, before)
+        self.save_snapshot(storage.save(found, "snapshot"), out, root, record_format, compress)
+        return reuse.stats(walked).first().asDict()
 
     def diff(self, root: str, snapshot_in: str, diff_out: str, snapshot_out: str, split_size: str | int | None = None, compress: bool = False, mode: str = "strict", record_format: bool = False) -> dict:
         """Changes from the snapshot to the tree; both diff and new snapshot are written, the diff first."""
@@ -219,12 +235,8 @@ class Engine:
         done = 0
         for path in detect_chunks(diff):
             with open(path, "rb") as f:
-                out: list = []
-
-                def take(n, blocks, out=out):
-                    out.append(list(blocks))
-
-                for kind, payload in wire.RecordReader(f, self.magics).expect("diff").records(content=take):
+                reader = wire.RecordReader(f, self.magics).expect("diff")
+                for kind, payload in reader.records(stream=True):
                     if kind == wire.CHANGE:
                         r = wire.change_row(wire.unpack(payload))
                         if r["has_content"]:
@@ -233,10 +245,13 @@ class Engine:
                     if not waiting:
                         raise FormatError("content without a change")
                     name, size = waiting[0]
-                    blocks = out.pop()
-                    for b in blocks or [b""]:
+                    empty = True
+                    for b in payload:  # a block at a time, whatever the record's length
                         yield name, done, b
                         done += len(b)
+                        empty = False
+                    if empty:
+                        yield name, done, b""
                     if done >= size:
                         waiting.pop(0)
                         done = 0

@@ -32,7 +32,8 @@ def with_hashes(walked: DataFrame, previous: DataFrame, content: DataFrame) -> D
 
 
 def stats(snapshot: DataFrame, walked: DataFrame | None = None) -> DataFrame:
-    """Counts of a walk: entries seen, by kind, hashed, reused, and errors (seen but left out)."""
+    """Counts of a walk: entries seen, by kind, hashed, reused, and errors: rows of kind 'error', and
+    rows of `walked` that the snapshot lacks."""
     reused = F.coalesce(F.col("reused"), F.lit(False)) if "reused" in snapshot.columns else F.lit(False)
     file = F.col("kind") == "file"
     out = snapshot.agg(
@@ -43,7 +44,8 @@ def stats(snapshot: DataFrame, walked: DataFrame | None = None) -> DataFrame:
         F.count_if(file & F.col("hash").isNotNull() & ~reused).alias("hashed"),
         F.count_if(file & reused).alias("reused"),
         F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"),
+        F.count_if(F.col("kind") == "error").alias("unread"),
     )
     total = walked.count() if walked is not None else None
     seen = F.col("entries") if total is None else F.lit(total).cast("bigint")
-    return out.withColumn("total_entries", seen).withColumn("errors", F.col("total_entries") - F.col("entries")).drop("entries")
+    return out.withColumn("total_entries", seen).withColumn("errors", F.col("total_entries") - F.col("entries") + F.col("unread")).drop("entries", "unread")

@@ -66,7 +66,7 @@ def path_functions(spark, sf_dir):
     )
 
 
-@query(f"WITH {fx.SQL} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS seq, 'added' AS op FROM n WHERE path <> '' UNION ALL SELECT 'src0', count(*) FILTER (string_split(path, '/') <= ['src0']) - 1, 'removed' FROM n WHERE false GROUP BY path")
+@query(f"WITH {fx.SQL} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS seq, 'added' AS op FROM n WHERE path <> ''")
 def component_order(spark, sf_dir):
     rows = fx.documents_new(spark, sf_dir).where("path <> ''").select("path", F.lit("added").alias("op"))
     return diff.with_sequence(rows).select("path", "seq", "op")

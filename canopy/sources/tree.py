@@ -70,7 +70,7 @@ class TreeReader(DataSourceReader):
         return path.startswith(self.prefix) or (deep and (path == "" or self.prefix.startswith(path + "/")))
 
     def partitions(self):
-        shallow, frontier = [""], [""]
+        shallow, frontier, lost = [""], [""], []
         while frontier and len(frontier) < 4 * self.partitions_wanted:
             below, moved = [], False
             for d in frontier:
@@ -85,10 +85,11 @@ class TreeReader(DataSourceReader):
                                     below.append(path)
                             moved = moved or is_dir
                 except OSError:
-                    continue
+                    lost.append(d)  # a task tries again, and reports it
             frontier = below
             if not moved:
                 break
+        frontier += [d for d in lost if d not in set(frontier)]
         n = max(1, min(self.partitions_wanted, len(shallow) + len(frontier)))
         return [Subtrees(shallow[i::n], frontier[i::n]) for i in range(n)]
 
@@ -115,7 +116,7 @@ class TreeReader(DataSourceReader):
                     yield d, "error", 0, 0, 0, 0, 0, 0, None, str(e), None
                 continue
             for name, is_dir in found:
-                path = f"{d}/{name}"
+                path = f"{d}/{name}" if d else name
                 if self.may_hold(path, is_dir):
                     yield from rows(path)
                     if is_dir:

@@ -164,7 +164,7 @@ class RecordWriter:
     def __init__(self, f: BinaryIO, file_type: str, source_hash: str | None = None, root: str | None = None, chunk_index: int | None = None, compress: bool = False, magics=(MAGIC, MAGIC_ZSTD), created_at: int | None = None):
         import xxhash
 
-        self.f, self.hash, self.written = f, xxhash.xxh3_128(), 0
+        self.f, self.hash, self.written, self.compressed = f, xxhash.xxh3_128(), 0, compress
         magic = magics[1] if compress else magics[0]
         f.write(magic)
         self.hash.update(magic)
@@ -193,13 +193,12 @@ class RecordWriter:
         self.f.write(END)
         self.hash.update(END)
         self.f.write(self.hash.digest()[::-1])
-        if hasattr(self.f, "flush"):
-            from contextlib import suppress
-
-            with suppress(Exception):
-                import zstandard
+        if self.compressed:
+            import zstandard
 
-                self.f.flush(zstandard.FLUSH_FRAME)
+            self.f.flush(zstandard.FLUSH_FRAME)
+        else:
+            self.f.flush()
 
 
 class RecordReader:
@@ -228,8 +227,9 @@ class RecordReader:
         self.hash.update(data)
         return data
 
-    def records(self, content: Callable[[int, Iterator[bytes]], None] | None = None, stop_at_content: bool = False) -> Iterator[tuple[int, bytes | None]]:
-        """(type, payload); content goes to the callback in blocks, and has no payload here."""
+    def records(self, content: Callable[[int, Iterator[bytes]], None] | None = None, stop_at_content: bool = False, stream: bool = False) -> Iterator[tuple[int, bytes | Iterator[bytes] | None]]:
+        """(type, payload); content goes to the callback in blocks and has no payload here, or, with
+        `stream`, its payload is an iterator of blocks, of which the rest is skipped."""
         while True:
             head = self.take(9)
             if head == END:
@@ -256,9 +256,12 @@ class RecordReader:
             it = blocks()
             if content:
                 content(n, it)
+            if stream:
+                yield kind, it
             for _ in it:
                 pass
-            yield kind, None
+            if not stream:
+                yield kind, None
 
     def expect(self, file_type: str) -> RecordReader:
         if self.header["file_type"] != file_type:

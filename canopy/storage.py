@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Beyond this many rows a side is not broadcast.
-BROADCAST_ROWS = 200_000
+#: Beyond this many rows, or bytes as Spark holds them, a side is not broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,5 +31,7 @@ def save(df: DataFrame, name: str, by: tuple = ()) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """df, a written or otherwise cheap table of short rows, marked for a broadcast if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, a written or otherwise cheap table, marked for a broadcast if its rows and bytes are few."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(0) for c, t in df.dtypes), F.lit(16 + 8 * len(df.columns)))
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and b <= BROADCAST_BYTES else df
