@@ -65,6 +65,13 @@ def test_scan(spark, engine, root):
         engine.scan(root + "/none")
 
 
+def test_snapshot_counts_what_it_reuses(engine, root, tmp_path):
+    first = engine.snapshot(root, str(tmp_path / "first"))
+    again = engine.snapshot(root, str(tmp_path / "again"), str(tmp_path / "first"))
+    assert first["reused"] == 0 and first["hashed"] == first["files"] > 1
+    assert (again["reused"], again["hashed"], again["errors"]) == (first["files"], 0, 0)
+
+
 def test_scan_reuses_hashes(engine, root):
     first = engine.scan(root)
     seen = first.withColumn("hash", F.when(F.col("path") == "a.txt", F.lit("ff" * 16)).otherwise(F.col("hash")))
