@@ -19,6 +19,19 @@ def xxh3_hex(data: bytes) -> str:
     return xxhash.xxh3_128_digest(data)[::-1].hex()
 
 
+def new_digest(algorithm: str):
+    """A digest that takes bytes piece by piece."""
+    import hashlib
+
+    import xxhash
+
+    return hashlib.md5() if algorithm == "md5" else xxhash.xxh3_128()
+
+
+def digest_hex(digest, algorithm: str) -> str:
+    return digest.hexdigest() if algorithm == "md5" else digest.digest()[::-1].hex()
+
+
 @F.pandas_udf(T.StringType())
 def _xxh3(data):
     return data.map(lambda x: None if x is None else xxh3_hex(bytes(x)))

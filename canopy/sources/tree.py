@@ -13,21 +13,18 @@ import stat
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
 from ..errors import InvalidRoot
+from ..functions.hashing import digest_hex, new_digest
 from ..schema import SNAPSHOT
 
 READ = 1 << 20
 
 
 def file_hash(path: str, algorithm: str) -> str:
-    import hashlib
-
-    import xxhash
-
-    h = hashlib.md5() if algorithm == "md5" else xxhash.xxh3_128()
+    h = new_digest(algorithm)
     with open(path, "rb") as f:
         while block := f.read(READ):
             h.update(block)
-    return h.hexdigest() if algorithm == "md5" else h.digest()[::-1].hex()
+    return digest_hex(h, algorithm)
 
 
 def entry(root: str, path: str, algorithm: str | None) -> tuple | None:
