@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from .functions.sizes import parse_size
 from .operators import diff as diffs
 from .operators import merkle, reuse, simulate, verify
 from .operators.filesystem import TreeWriter
-from .operators.split import PREFIX, check_limit, chunk_name
+from .operators.split import PREFIX, chunk_name, split_plan
 from .schema import CHANGES, FORMAT_VERSION, SNAPSHOT
 from .sources import tree, wire
 
@@ -134,7 +136,8 @@ class Engine:
             tree.contents(found.where("has_content"), os.path.realpath(root)).write.mode("overwrite").option("compression", "zstd" if compress else "snappy").parquet(f"{diff_out}/content")
             self._header(diff_out, "diff", source=self.snapshot_digest(old))
         self.save_snapshot(new, snapshot_out, root, record_format, compress)
-        return diffs.summary(found).first().asDict() | {"skipped": diffs.skipped(old, new).count()}
+        # Only reference mode leaves anything out; the other modes compare every row.
+        return diffs.summary(found).first().asDict() | {"skipped": diffs.skipped(old, new).count() if mode == "reference" else 0}
 
     def snapshot_digest(self, snapshot: DataFrame) -> str:
         """The same for any order of the rows: a sum of row digests, so nothing is sorted or gathered."""
@@ -143,50 +146,70 @@ class Engine:
         return f"{n:x}-{int(total):x}"
 
     def _write_records(self, found: DataFrame, root: str, out: str, source: str, limit: int | None, compress: bool) -> None:
-        """One pass on the driver, where the files are written: rows stream in, content in blocks."""
-        rows = lambda: (r.asDict() for r in found.orderBy("seq").toLocalIterator())
-        chunk = [0]
-        writer: list[wire.RecordWriter] = []
-
-        def begin():
-            if writer:
-                end()
-            chunk[0] += 1
-            f = open(chunk_name(out, chunk[0]) if limit else out, "wb")
-            w = wire.RecordWriter(f, "diff", source_hash=source, chunk_index=chunk[0] if limit else None, compress=compress, magics=self.magics)
-            w.file = f
-            writer[:] = [w]
-
-        def end():
-            writer[0].finish()
-            writer[0].file.close()
-
-        if limit and found.isEmpty():
+        """The files of a diff, each written by one task, as the split plan says; a task that is run
+        again writes its files anew. The executors must see the tree and the folder of the diff."""
+        now, magics, out = int(time.time()), self.magics, os.path.abspath(out)
+        numbered = limit is not None
+        if found.isEmpty():
+            if not numbered:
+                with open(out, "wb") as f:
+                    wire.RecordWriter(f, "diff", source_hash=source, compress=compress, magics=magics, created_at=now).finish()
             return
-        begin()
-        if limit:
+        names = CHANGES.names
+
+        def packed(batches):
+            import pandas as pd
+
+            for b in batches:
+                rows = [{k: None if v is None or v is pd.NA or v != v else v for k, v in zip(b.columns, r)} for r in b.astype(object).itertuples(index=False)]
+                whole = [{k: int(v) if isinstance(v, float) else v for k, v in r.items()} for r in rows]
+                payload = [wire.pack(wire.change_value(r)) for r in whole]
+                yield pd.DataFrame({"seq": b.seq, "path": b.path, "payload": payload, "record_bytes": [PREFIX + len(p) for p in payload], "content_bytes": pd.array([r["new_size"] if r["has_content"] else None for r in whole], "Int64")})
+
+        records = storage.save(found.select("seq", *names).mapInPandas(packed, "seq bigint, path string, payload binary, record_bytes bigint, content_bytes bigint"), "records")
+        size = lambda chunk: 9 + len(wire.header_bytes("diff", source, None, chunk if numbered else None, now))
+        plan = split_plan(records, size, limit if numbered else 1 << 62)
+        change = F.col("item") == "change"
+        items = storage.save(plan, "plan").join(records.select("seq", "path", "payload"), "seq").select("chunk_index", change.alias("first"), "seq", "offset", "length", F.when(change, F.col("payload")).alias("payload"), "path")
+        blocks = self._blocks
+
+        def write(batches):
+            import pandas as pd
+
+            now_at, writer, f, done = None, None, None, []
+
+            def end():
+                writer.finish()
+                f.close()
+                os.replace(f.name, chunk_name(out, now_at) if numbered else out)
+                done.append(now_at)
+
             try:
-                check_limit(limit, writer[0].written, not found.where("has_content").isEmpty())
-            except ValueError:
-                writer[0].file.close()
-                os.unlink(chunk_name(out, 1))
+                for b in batches:
+                    for r in b.itertuples(index=False):
+                        if r.chunk_index != now_at:
+                            if writer is not None:
+                                end()
+                            now_at = int(r.chunk_index)
+                            f = open(f"{out}-{uuid.uuid4().hex}", "wb")
+                            writer = wire.RecordWriter(f, "diff", source_hash=source, chunk_index=now_at if numbered else None, compress=compress, magics=magics, created_at=now)
+                        if r.first:
+                            writer.record(wire.CHANGE, bytes(r.payload))
+                        else:
+                            with open(os.path.join(root, r.path), "rb") as content:
+                                content.seek(int(r.offset))
+                                writer.content(int(r.length), blocks(content, int(r.length), r.path))
+                if writer is not None:
+                    end()
+            except BaseException:
+                if f is not None and os.path.exists(f.name):
+                    f.close()
+                    os.unlink(f.name)
                 raise
-        for r in rows():
-            if limit and writer[0].written >= limit:
-                begin()
-            writer[0].record(wire.CHANGE, wire.pack(wire.change_value(r)))
-        for r in (r.asDict() for r in found.where("has_content").orderBy("seq").select("path", "new_size").toLocalIterator()):
-            with open(os.path.join(root, r["path"]), "rb") as f:
-                left = r["new_size"]
-                while True:
-                    if limit and writer[0].written + PREFIX >= limit:
-                        begin()
-                    n = min(left, limit - writer[0].written - PREFIX) if limit else left
-                    writer[0].content(n, self._blocks(f, n, r["path"]))
-                    left -= n
-                    if not left:
-                        break
-        end()
+            yield pd.DataFrame({"chunk_index": done})
+
+        dealt = items.repartition("chunk_index").sortWithinPartitions("chunk_index", F.desc("first"), "seq", "offset")
+        dealt.mapInPandas(write, "chunk_index int").agg(F.count("chunk_index")).first()
 
     @staticmethod
     def _blocks(f, n: int, path: str) -> Iterator[bytes]:

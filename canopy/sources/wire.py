@@ -158,6 +158,11 @@ def change_row(v: list) -> dict:
 # Files
 
 
+def header_bytes(file_type: str, source_hash: str | None, root: str | None, chunk_index: int | None, created_at: int) -> bytes:
+    header = pack([file_type, FORMAT_VERSION, created_at, _digest(source_hash), root, chunk_index])
+    return struct.pack("<I", len(header)) + header
+
+
 class RecordWriter:
     """Writes one file; `written` counts uncompressed bytes without end marker and checksum."""
 
@@ -173,8 +178,7 @@ class RecordWriter:
             import zstandard
 
             self.f = zstandard.ZstdCompressor(level=3).stream_writer(f, closefd=False)
-        header = pack([file_type, FORMAT_VERSION, int(time.time()) if created_at is None else created_at, _digest(source_hash), root, chunk_index])
-        self.put(struct.pack("<I", len(header)) + header)
+        self.put(header_bytes(file_type, source_hash, root, chunk_index, int(time.time()) if created_at is None else created_at))
 
     def put(self, data: bytes) -> None:
         self.f.write(data)
