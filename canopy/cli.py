@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from .errors import CanopyError, VerificationFailed
+from .progress import Progress
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,27 +37,15 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import SparkSession
 
-    from . import storage
     from .engine import Engine
 
     o = parser().parse_args(argv)
-    engine = Engine(spark or SparkSession.builder.appName("canopy").getOrCreate(), o.algorithm)
+    spark = spark or SparkSession.builder.appName("canopy").getOrCreate()
     try:
-        if o.command == "snapshot":
-            out = engine.snapshot(o.root, o.out, o.previous, o.compress, o.records)
-        elif o.command == "diff":
-            out = engine.diff(o.root, o.snapshot_in, o.diff_out, o.snapshot_out, o.split_size, o.compress, o.mode, o.records)
-        elif o.command == "apply":
-            out = engine.apply(o.root, o.diff)
-        else:
-            found = storage.save(engine.verify(o.root, o.diff, o.snapshot), "found")
-            for r in found.orderBy("path", "category").toLocalIterator():
-                print(f"{r.category.upper()}: {r.path} ({r.detail})")
-            from .operators.verify import line_count
-
-            if lines := line_count(found).first()["lines"]:
-                raise VerificationFailed(lines)
-            out = {"discrepancies": 0}
+        with Progress(spark, o.command):
+            out, found = run(Engine(spark, o.algorithm), o)
+        if found is not None:
+            report(found)
     except CanopyError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
@@ -64,5 +53,28 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     return 0
 
 
+def run(engine, o) -> tuple:
+    """The command's figures, and for verify its findings."""
+    from . import storage
+
+    if o.command == "snapshot":
+        return engine.snapshot(o.root, o.out, o.previous, o.compress, o.records), None
+    if o.command == "diff":
+        return engine.diff(o.root, o.snapshot_in, o.diff_out, o.snapshot_out, o.split_size, o.compress, o.mode, o.records), None
+    if o.command == "apply":
+        return engine.apply(o.root, o.diff), None
+    return {"discrepancies": 0}, storage.save(engine.verify(o.root, o.diff, o.snapshot), "found")
+
+
+def report(found) -> None:
+    """Prints the findings; raises if there are any."""
+    from .operators.verify import line_count
+
+    for r in found.orderBy("path", "category").toLocalIterator():
+        print(f"{r.category.upper()}: {r.path} ({r.detail})")
+    if lines := line_count(found).first()["lines"]:
+        raise VerificationFailed(lines)
+
+
 if __name__ == "__main__":
     sys.exit(main())
