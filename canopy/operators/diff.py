@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,17 +59,23 @@ def op_rank():
 
 
 def with_sequence(rows: DataFrame) -> DataFrame:
-    """rows with seq: their place by path, removals first. No task sees more than its range of paths."""
-    parts = rows.withColumn("_key", paths.components(F.col("path"))).withColumn("_rank", op_rank())
-    placed = storage.save(parts.repartitionByRange("_key", "_rank").withColumn("_part", F.spark_partition_id()), "ordered")
+    """rows with seq: their place by path, removals first."""
+    return numbered(rows, [paths.components(F.col("path")), op_rank()], "seq")
+
+
+def numbered(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """rows with their place, from 0, in the order of the keys. No task sees more than its range of keys."""
+    own = [f"_key{i}" for i in range(len(keys))]
+    parts = rows.withColumns(dict(zip(own, keys)))
+    placed = storage.save(parts.repartitionByRange(*own).withColumn("_part", F.spark_partition_id()), "ordered")
     counts = dict(placed.groupBy("_part").count().collect())
     start, starts = 0, {}
     for k in sorted(counts):
         starts[k] = start
         start += counts[k]
     offset = F.coalesce(*[F.when(F.col("_part") == k, F.lit(v).cast("long")) for k, v in starts.items()], F.lit(0).cast("long"))
-    order = W.partitionBy("_part").orderBy("_key", "_rank")
-    return placed.withColumn("seq", F.row_number().over(order) - 1 + offset).drop("_key", "_rank", "_part")
+    order = W.partitionBy("_part").orderBy(*own)
+    return placed.withColumn(name, F.row_number().over(order) - 1 + offset).drop(*own, "_part")
 
 
 def skipped(old: DataFrame, new: DataFrame) -> DataFrame:

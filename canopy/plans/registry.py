@@ -74,11 +74,10 @@ def component_order(spark, sf_dir):
 
 @query(f"WITH {fx.SQL}, x AS (SELECT path, len(path) - len(replace(path, '/', '')) + CAST(path <> '' AS INT) AS depth FROM n WHERE kind = 'directory') SELECT path, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY depth DESC, path) AS deep_first, row_number() OVER (ORDER BY depth, path) AS shallow_first FROM x")
 def depth_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     d = fx.document_dirs(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth"))
-    rank = lambda *by: F.row_number().over(W.orderBy(*by)).cast("bigint")
-    return d.select("path", "depth", rank(F.desc("depth"), "path").alias("deep_first"), rank("depth", "path").alias("shallow_first"))
+    for name, depth in (("deep_first", -F.col("depth")), ("shallow_first", F.col("depth"))):
+        d = diff.numbered(d, [depth, F.col("path")], name).withColumn(name, F.col(name) + 1)
+    return d
 
 
 @query("SELECT doc_id, md5(text) AS content_hash, lower(hex(substr(lang, 1, 2)::BLOB)) AS lang_hex, md5(source) AS target_hash, '00000000000000000000000000000000' AS no_target FROM documents")

@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def posix(uri: str) -> str:
+    """The path of a file: URI or a plain path; other stores have no files to open."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return uri
+    if scheme != "file":
+        raise ValueError(f"trees and record files need a mounted folder, not {uri}")
+    return "/" + rest.lstrip("/")
+
+
 def save(df: DataFrame, name: str, by: tuple = ()) -> DataFrame:
     """df written and read again: its lineage ends here."""
     spark = df.sparkSession

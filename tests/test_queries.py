@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from canopy.plans import registry
+from canopy.plans import registry, trees  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
