@@ -270,3 +270,58 @@ def test_stream_equals_fold(spark, tmp_path):
 def test_contents_in_pieces(spark, root):
     rows = tree.contents(spark.createDataFrame([("a.txt",), ("empty",)], "path string"), root, fragment=2).collect()
     assert sorted((r.path, r.frag_no, r.offset, bytes(r.bytes)) for r in rows) == [("a.txt", 0, 0, b"he"), ("a.txt", 1, 2, b"ll"), ("a.txt", 2, 4, b"o"), ("empty", 0, 0, b"")]
+
+
+def test_record_file_bytes(tmp_path):
+    """A whole snapshot file, byte by byte: the format must not drift."""
+    import xxhash
+
+    path = str(tmp_path / "s")
+    wire.write_snapshot(path, [file("a", size=300, hash_="ab", mtime=7)], created_at=0)
+    header = b"\x96\xa8snapshot" + bytes([wire.FORMAT_VERSION, 0]) + b"\xc0\xc0\xc0"
+    entry = b"\x96\xa1a\xa4File\x96\xcd\x01\x2c\x07\x00\xcd\x01\xa4\xcd\x03\xe8\xcd\x03\xe8\xdc\x00\x10" + b"\xcc\xab" * 16 + b"\xc0\xc0"
+    body = wire.MAGIC + struct.pack("<I", len(header)) + header + struct.pack("<QB", len(entry), 1) + entry + bytes(9)
+    assert open(path, "rb").read() == body + xxhash.xxh3_128_digest(body)[::-1]
+
+
+def test_files_of_a_diff_keep_to_the_limit(spark, engine, root, tmp_path):
+    out = lambda n: str(tmp_path / n)
+    engine.snapshot(root, out("s1"), record_format=True)
+    write(root, "big", os.urandom(50_000))
+    write(root, "none", b"")
+    engine.diff(root, out("s1"), out("d"), out("s2"), split_size=3000, record_format=True)
+    chunks = detect_chunks(out("d"))
+    sizes = [os.path.getsize(c) for c in chunks]
+    assert len(chunks) > 15 and set(sizes[1:-1]) == {3000 + 9 + 16}  # the end marker and the checksum come on top
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("d-")]
+    got = {}
+    for path, at, data in engine._content(out("d")):
+        assert at == len(got.get(path, b""))
+        got[path] = got.get(path, b"") + data
+    assert got == {p: open(f"{root}/{p}", "rb").read() for p in ("big", "none")}
+
+
+def test_a_failing_writer_leaves_no_file(engine, root, tmp_path):
+    out = lambda n: str(tmp_path / n)
+    engine.snapshot(root, out("s1"), record_format=True)
+    write(root, "gone", b"12345")
+    found = diff.with_sequence(diff.changes(engine.load_snapshot(out("s1")), engine.scan(root)))
+    os.unlink(f"{root}/gone")
+    with pytest.raises(Exception, match="gone"):
+        engine._write_records(found, root, out("d"), "0" * 32, None, False)
+    assert sorted(os.listdir(tmp_path)) == ["s1", "tree"]
+
+
+def test_progress_is_for_terminals(spark):
+    import io
+    import time
+
+    from canopy.progress import Progress
+
+    quiet, shown = io.StringIO(), io.StringIO()
+    with Progress(spark, "diff", quiet, every=0.01):
+        time.sleep(0.05)
+    with Progress(spark, "diff", shown, always=True, every=0.01):
+        spark.range(1000).repartition(8).count()
+        time.sleep(0.05)
+    assert quiet.getvalue() == "" and "diff: " in shown.getvalue() and shown.getvalue().endswith("\r\x1b[K")

@@ -86,3 +86,29 @@ def test_hashes(spark):
     assert bytes.fromhex(hashing.xxh3_hex(b"abc"))[::-1] == xxhash.xxh3_128_digest(b"abc")
     assert one(spark, hashing.content_hash(F.col("b"), "xxh3"), b=b"abc") == hashing.xxh3_hex(b"abc")
     assert one(spark, hashing.target_hash(F.lit(None).cast("string")), z=1) == "0" * 32
+
+
+def test_digests_and_bytes_that_must_not_change():
+    """Digests of the public XXH3-128 test input "", and the layout of a child's token."""
+    from canopy.functions import hashing
+
+    assert hashing.xxh3_hex(b"") == bytes.fromhex("99aa06d3014798d86001c324468d497f")[::-1].hex()
+    streamed = hashing.new_digest("xxh3")
+    for piece in (b"ab", b"", b"c"):
+        streamed.update(piece)
+    assert hashing.digest_hex(streamed, "xxh3") == hashing.xxh3_hex(b"abc")
+    child = {"name": "é", "kind": "file", "h": "00112233445566778899aabbccddeeff", "permissions": 0o644, "uid": 1, "gid": 2, "mtime_sec": -1, "mtime_nsec": 5, "size": 258}
+    want = "c3a9" "00" "00" "00112233445566778899aabbccddeeff" "a4010000" "01000000" "02000000" "ffffffffffffffff" "05000000" "0201000000000000"
+    assert hashing.child_token(child).hex() == want
+    link = child | {"name": "l", "kind": "symlink", "h": None}
+    assert hashing.child_token(link).hex() == "6c" "00" "02" + "00" * 16 + "a4010000" "01000000" "02000000" "ffffffffffffffff" "05000000" + "00" * 8
+
+
+def test_posix_paths_of_the_shared_folder():
+    import pytest
+
+    from canopy import storage
+
+    assert [storage.posix(x) for x in ("/a/b", "file:/a", "file:///a/b", "a/x:y")] == ["/a/b", "/a", "/a/b", "a/x:y"]
+    with pytest.raises(ValueError):
+        storage.posix("hdfs://host/a")

@@ -301,3 +301,15 @@ def test_changes_turn_old_into_new(spark, old, new):
     assert diff.changes(o, o).collect() == [] and diff.changes(after, n).collect() == []
     keys = [(r.path, r.op) for r in c.collect()]
     assert len(keys) == len(set(keys)) and after.columns == SNAPSHOT.names
+
+
+def test_streamed_digests(spark):
+    import hashlib
+
+    rows = [("a", 3, 1, b"de"), ("a", 0, 0, b"abc"), ("gap", 0, 0, b"x"), ("gap", 2, 1, b"y"), ("over", 0, 0, b"xy"), ("over", 1, 1, b"z"), ("empty", 0, 0, b"")]
+    df = spark.createDataFrame(rows, "path string, offset bigint, frag_no int, bytes binary")
+    got = {r.path: (r.total, r.whole, r.hash) for r in content.digests(df).collect()}
+    md5 = lambda b: hashlib.md5(b).hexdigest()
+    assert got == {"a": (5, True, md5(b"abcde")), "gap": (2, False, md5(b"xy")), "over": (3, False, md5(b"xyz")), "empty": (0, True, md5(b""))}
+    assert {r.path: bytes(r.bytes) for r in content.reassembled(df).collect()}["empty"] == b""
+    assert content.digests(df.limit(0)).collect() == [] and content.digests(df, "xxh3").count() == 4
