@@ -51,7 +51,8 @@ class Model:
         n = m.normalizer_spec
         if m.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces or not m.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback, identity normalisation and a dummy prefix are supported")
-        normal = [(i, p.piece, p.score) for i, p in enumerate(m.pieces) if p.type == 1]
+        # By code points: pieces searched in this order are found side by side.
+        normal = sorted(((i, p.piece, p.score) for i, p in enumerate(m.pieces) if p.type == 1), key=lambda x: x[1])
         if any(p.type in (4, 5) for p in m.pieces) or any(SPACE in p.lstrip(SPACE) for _, p, _ in normal):
             raise ValueError("user-defined pieces, or pieces over a space, are not supported")
         self.ids = np.array([i for i, _, _ in normal], np.int32)
@@ -81,6 +82,19 @@ def keys_of(symbols: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
+def order_of(words: list[np.ndarray]) -> np.ndarray:
+    """What sorts rows of words; only rows whose first words are equal are compared further."""
+    order = np.argsort(words[0])
+    if len(words) == 1 or len(order) < 2:
+        return order
+    first = words[0][order]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    at = order[tied]  # sorted by groups of equal first words, so each group keeps its places
+    order[tied] = at[np.lexsort([*(w[at] for w in words[:0:-1]), first[tied]])]
+    return order
+
+
 def as_bytes(words: list[np.ndarray]) -> np.ndarray:
     return np.stack(words, 1).astype(">u8").view(f"S{8 * len(words)}").ravel()
 
@@ -113,15 +127,18 @@ class Encoder:
         Suffixes are ordered by their first `depth` symbols; 0 separates units. What stands behind
         a separator may order suffixes, but no piece reaches over one."""
         depth = self.m.depth
-        letters = np.unique(codes[inside])
-        usable = letters[np.isin(letters, self.alphabet[1:])]
+        met = np.zeros(int(codes.max()) + 1, bool)
+        met[codes] = True
+        usable = self.alphabet[1:][self.alphabet[1:] < len(met)]
+        usable = usable[met[usable]]
         bits = 8 if len(usable) < 254 else 16
-        at = np.minimum(np.searchsorted(usable, codes), max(len(usable) - 1, 0))
+        new = np.full(len(met), len(usable) + 1, np.int32)
+        new[usable] = np.arange(1, len(usable) + 1)
         s = np.zeros(len(codes) + depth, np.int32)
-        s[: len(codes)][inside] = (np.where(usable[at] == codes, at + 1, len(usable) + 1) if len(usable) else np.ones(len(codes), np.int64))[inside]
+        np.multiply(new[codes], inside, out=s[: len(codes)])
         suffixes = np.lib.stride_tricks.sliding_window_view(s, depth)[: len(codes)]
         words = keys_of(suffixes, bits)
-        order = np.lexsort(words[::-1])
+        order = order_of(words)
         keys = as_bytes([w[order] for w in words])
         del words
         # Pieces whose letters all occur, in the same numbers.
@@ -207,11 +224,12 @@ class Encoder:
         bounds = np.searchsorted(u, np.arange(len(units) + 1))
         bare = np.zeros(len(units), bool)
         bare[u[ids < 0]] = True
-        for i, x in enumerate(units):
-            own = ids[bounds[i] : bounds[i + 1]]
-            if bare[i]:
-                own = np.concatenate([[v] if v >= 0 else self.m.bytes[list(chr(codes[p]).encode("utf-8", "surrogatepass"))] for v, p in zip(own, b[bounds[i] : bounds[i + 1]])]).astype(np.int32)
-            self.known[x] = own.tobytes()
+        raw, at = ids.tobytes(), (4 * bounds).tolist()
+        self.known.update(zip(units, [raw[i:j] for i, j in zip(at, at[1:])]))
+        for i in np.flatnonzero(bare):
+            part = slice(bounds[i], bounds[i + 1])
+            own = [[v] if v >= 0 else self.m.bytes[list(chr(codes[p]).encode("utf-8", "surrogatepass"))] for v, p in zip(ids[part], b[part])]
+            self.known[units[i]] = np.concatenate(own).astype(np.int32).tobytes()
 
     def relax_long(self, a: int, z: int, edge) -> tuple[np.ndarray, np.ndarray]:
         """The same for one long unit [a, z): a heap of the edges that join neighbours."""

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -53,3 +54,20 @@ def test_nulls_and_columns(spark, library):
     got = pieces.decode(pieces.encode(df), text_col="again").collect()
     assert [(r.doc_id, r.text, r.ids, r.decoded, r.again, r.other) for r in got] == [(1, None, [], None, "", "x"), (1, "", [], "", "", "y"), (None, "two  words", library.encode("two  words"), "two  words", "two  words", None)]
     assert pieces.encode(df.limit(0)).collect() == []
+
+
+def test_order_of_rows_compares_ties_only():
+    rng = np.random.default_rng(6)
+    for n, top in ((0, 3), (1, 3), (500, 3), (500, 2**60)):
+        words = [rng.integers(0, top, n).astype(np.uint64) for _ in range(3)]
+        for some in (words, words[:1]):
+            order = pieces.order_of(some)
+            assert sorted(order.tolist()) == list(range(n))
+            rows = list(zip(*(w[order].tolist() for w in some)))
+            assert rows == sorted(rows)
+
+
+def test_pieces_are_searched_in_order(library):
+    m = pieces.Model()
+    assert m.texts == sorted(m.texts)
+    assert [library.id_to_piece(int(i)) for i in m.ids] == m.texts
