@@ -4,7 +4,7 @@ Prefix sums of turn tokens cut a conversation into turn-aligned windows. Of the
 system turn, as much is set aside as the conversation's longest turn takes (half at most) and as
 the repeated turns take (a quarter at most); a turn belongs to the window in whose stretch of what
 is left its prefix sum falls, so that no window exceeds the budget. A turn of over half the budget
-has a window of its own. A leading system turn is repeated in each window, followed by at most
+has a window of its own; the first one shares it with the system turn if both fit. A leading system turn is repeated in each window, followed by at most
 `history` repeated turns as far as the budget allows; repeated turns carry no loss. A window is
 rendered as
 
@@ -74,7 +74,8 @@ def windows(df: DataFrame, budget: int = 1024, history: int = 2, conv_col: str =
     alone = (F.col("tok") > F.col("most")) & ~F.col("s") & (F.col("total") > budget)
     t = t.withColumn("alone", alone)
     before = lambda c: F.lag(c).over(order)
-    fresh = (F.col("i") > 0) & ~before("s") & ((F.col("slot") != before("slot")) | F.col("alone") | before("alone"))
+    # Behind the system turn a window begins if the turn doesn't fit beside it.
+    fresh = (F.col("i") > 0) & F.when(before("s"), F.col("st") + F.col("tok") > budget).otherwise((F.col("slot") != before("slot")) | F.col("alone") | before("alone"))
     t = t.withColumn("first", F.coalesce(fresh, F.lit(False)))
     t = t.withColumn("window", F.sum(F.col("first").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     # From here on the order is by window, then as before: the same order, and one of each window.

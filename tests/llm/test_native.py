@@ -97,6 +97,15 @@ def test_chat_of_many_turns(spark):
     assert counted.selectExpr("max(n_turns - n_context)").first()[0] == 1
 
 
+def test_system_turn_and_a_turn_that_does_not_fit_beside_it(spark):
+    df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    for tokens, want in ((600, [(1, 0), (2, 1), (2, 1)]), (500, [(2, 0), (2, 1)])):
+        w = chat.windows(df.withColumn("n", chat.F.lit(tokens)), tokens_col="n")
+        assert [(r.n_turns, r.n_context) for r in w.orderBy("window").collect()] == want
+        got = chat.read_back(w).first()
+        assert (got.n_turns, got.loss_chars, got.turns_sha256) == (3, 1, sha("system\ns\nuser\nu\nassistant\na\n"))
+
+
 # decontamination
 
 GAP = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
