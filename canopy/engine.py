@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import storage
 from .errors import FormatError, InvalidRoot, MissingChunk, VerificationFailed
@@ -23,6 +28,14 @@ from .schema import CHANGES, FORMAT_VERSION, SNAPSHOT
 from .sources import tree, wire
 
 
+#: Records in a batch that a task hands to Spark.
+BATCH = 5000
+
+
+def arrow_rows(rows: Iterable[dict], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(list(rows), to_arrow_schema(schema))
+
+
 def detect_chunks(path: str) -> list[str]:
     """The file itself if it exists, else path.001, path.002, ...; a gap of any width is an error."""
     if os.path.isfile(path):
@@ -86,14 +99,19 @@ class Engine:
             magics = self.magics
             rows = self.spark.createDataFrame([(path,)], "file string")
 
-            def run(batches):
-                import pandas as pd
+            def read(batches):
+                for b in batches:
+                    for p in b.column(0).to_pylist():
+                        for part in batched(wire.read_entries(p, magics=magics), BATCH):
+                            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["entry"])
 
+            def run(batches):
                 for b in batches:
-                    for p in b.file:
-                        yield pd.DataFrame(list(wire.read_snapshot(p, magics=magics)), columns=SNAPSHOT.names)
+                    yield arrow_rows((wire.entry_row(wire.unpack(e)) for e in b.column(0).to_pylist()), SNAPSHOT)
 
-            return rows.mapInPandas(run, SNAPSHOT)
+            # One task reads the file and compares its checksum; entries are unpacked by many.
+            packed = storage.in_arrow(rows, read, "entry binary").repartition(4 * self.spark.sparkContext.defaultParallelism)
+            return storage.in_arrow(packed, run, SNAPSHOT)
         return self._table(path, "snapshot", SNAPSHOT)
 
     def _table(self, path: str, kind: str, schema) -> DataFrame:
@@ -109,11 +127,36 @@ class Engine:
     def save_snapshot(self, snapshot: DataFrame, path: str, root: str | None = None, record_format: bool = False, compress: bool = False) -> None:
         ordered = snapshot.select(*SNAPSHOT.names).withColumn("_key", paths.components(F.col("path"))).orderBy("_key").drop("_key")
         if record_format:
-            wire.write_snapshot(path, (r.asDict() for r in ordered.toLocalIterator()), root, compress, magics=self.magics)
+            self._write_entries(ordered, path, root, compress)
         else:
             ordered.write.mode("overwrite").option("compression", "zstd" if compress else "snappy").parquet(f"{path}/rows")
             self._header(path, "snapshot", root=root)
 
+    def _write_entries(self, ordered: DataFrame, path: str, root: str | None, compress: bool) -> None:
+        """A snapshot file: tasks pack the records of their ranges into files beside it, which are
+        then joined. The executors must see its folder."""
+        own = f"{os.path.abspath(path)}-{uuid.uuid4().hex}"
+        os.makedirs(own)
+
+        def run(batches):
+            at = f"{own}/{uuid.uuid4().hex}"
+            with open(at, "wb") as f:
+                for b in batches:
+                    f.writelines(map(wire.entry_record, b.to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([at])], ["part", "file"])
+
+        def blocks(parts):
+            for _, at in parts:
+                with open(at, "rb") as f:
+                    while b := f.read(tree.READ):
+                        yield b
+
+        try:
+            parts = sorted(map(tuple, storage.in_arrow(ordered, run, "part int, file string").collect()))
+            wire.write_runs(path, blocks(parts), root, compress, magics=self.magics)
+        finally:
+            shutil.rmtree(own, ignore_errors=True)
+
     # commands
 
     def snapshot(self, root: str, out: str, previous: str | None = None, compress: bool = False, record_format: bool = False) -> dict:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Beyond this many rows, or bytes as Spark holds them, a side is not broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: What a batch between Spark and a Python worker holds at most, if the session sets no bound.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +47,11 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(0) for c, t in df.dtypes), F.lit(16 + 8 * len(df.columns)))
     n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and b <= BROADCAST_BYTES else df
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of a few MB, unless the session has a bound of its own."""
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, ARROW_BYTES)
+    return df.mapInArrow(run, schema)
