@@ -36,21 +36,21 @@ def plant(rows: DataFrame, text: DataFrame, root: str) -> str:
 
     def run(batches):
         for b in batches:
-            for r in b.itertuples(index=False):
-                full = os.path.join(root, r.path)
+            for path, kind, text, sec, mode, target in zip(*b.columns):
+                full, sec = os.path.join(root, path.as_py()), sec.as_py()
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 if os.path.lexists(full):
                     os.unlink(full)
-                if r.kind == "symlink":
-                    os.symlink(r.symlink_target, full)
+                if kind.as_py() == "symlink":
+                    os.symlink(target.as_py(), full)
                 else:
                     with open(full, "wb") as f:
-                        f.write(r.text.encode())
-                    os.chmod(full, r.permissions)
-                os.utime(full, (r.mtime_sec, r.mtime_sec), follow_symlinks=False)
-            yield b[["path"]]
+                        f.write(text.as_buffer())
+                    os.chmod(full, mode.as_py())
+                os.utime(full, (sec, sec), follow_symlinks=False)
+            yield b.select(["path"])
 
-    leaves.mapInPandas(run, "path string").agg(F.count("path")).first()
+    storage.in_arrow(leaves, run, "path string").agg(F.count("path")).first()
     dirs = rows.where("kind = 'directory'").select("path", "permissions", "mtime_sec").orderBy(F.desc("path"))
     made = [tuple(r) for r in dirs.toLocalIterator()]
     for path, _, _ in made:

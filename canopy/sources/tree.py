@@ -1,7 +1,8 @@
 """Directory trees as a Spark data source: spark.read.format("tree").option("root", ...).load().
 
 Entries are read without following links. Subtrees are read in parallel: the plan lists the upper
-levels, and each partition walks some of the directories below. Executors must see the same files.
+levels, and each partition walks some of the directories below, or a share of a wide one. Executors
+must see the same files.
 What can't be read is left out and, with option errors=rows, shows as a row of kind 'error'.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 import os
 import stat
+from itertools import islice
+from zlib import crc32
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
@@ -17,6 +20,8 @@ from ..functions.hashing import digest_hex, new_digest
 from ..schema import SNAPSHOT
 
 READ = 1 << 20
+#: The plan lists no directory of more entries; tasks do, each for its share of the names.
+LISTED = 256
 
 
 def file_hash(path: str, algorithm: str) -> str:
@@ -40,7 +45,9 @@ def entry(root: str, path: str, algorithm: str | None) -> tuple | None:
 
 
 class Subtrees(InputPartition):
-    def __init__(self, shallow: list[str], deep: list[str]):
+    """shallow: paths of entries; deep: (directory, share, shares), of which all below is read."""
+
+    def __init__(self, shallow: list[str], deep: list[tuple[str, int, int]]):
         self.shallow, self.deep = shallow, deep
 
 
@@ -67,28 +74,31 @@ class TreeReader(DataSourceReader):
         return path.startswith(self.prefix) or (deep and (path == "" or self.prefix.startswith(path + "/")))
 
     def partitions(self):
-        shallow, frontier, lost = [""], [""], []
+        shallow, frontier, lost, wide = [""], [""], [], []
         while frontier and len(frontier) < 4 * self.partitions_wanted:
-            below, moved = [], False
+            below = []
             for d in frontier:
                 try:
                     with os.scandir(os.path.join(self.root, d)) as it:
-                        for e in it:
-                            path = f"{d}/{e.name}" if d else e.name
-                            is_dir = e.is_dir(follow_symlinks=False)
-                            if self.may_hold(path, is_dir):
-                                shallow.append(path)
-                                if is_dir:
-                                    below.append(path)
-                            moved = moved or is_dir
+                        found = [(e.name, e.is_dir(follow_symlinks=False)) for e in islice(it, LISTED + 1)]
                 except OSError:
                     lost.append(d)  # a task tries again, and reports it
+                    continue
+                if len(found) > LISTED:
+                    wide.append(d)
+                    continue
+                for name, is_dir in found:
+                    path = f"{d}/{name}" if d else name
+                    if self.may_hold(path, is_dir):
+                        shallow.append(path)
+                        if is_dir:
+                            below.append(path)
             frontier = below
-            if not moved:
-                break
-        frontier += [d for d in lost if d not in set(frontier)]
-        n = max(1, min(self.partitions_wanted, len(shallow) + len(frontier)))
-        return [Subtrees(shallow[i::n], frontier[i::n]) for i in range(n)]
+        whole = [(d, 0, 1) for d in frontier + lost]
+        shares = -(-4 * self.partitions_wanted // max(1, len(whole) + len(wide)))
+        deep = whole + [(d, i, shares) for d in wide for i in range(shares)]
+        n = max(1, min(self.partitions_wanted, len(shallow) + len(deep)))
+        return [Subtrees(shallow[i::n], deep[i::n]) for i in range(n)]
 
     def read(self, partition):
         def rows(path):
@@ -104,12 +114,12 @@ class TreeReader(DataSourceReader):
             yield from rows(path)
         todo = list(partition.deep)
         while todo:
-            d = todo.pop()
+            d, share, shares = todo.pop()
             try:
                 with os.scandir(os.path.join(self.root, d)) as it:
-                    found = [(e.name, e.is_dir(follow_symlinks=False)) for e in it]
+                    found = [(e.name, e.is_dir(follow_symlinks=False)) for e in it if shares == 1 or crc32(os.fsencode(e.name)) % shares == share]
             except OSError as e:
-                if self.errors:
+                if self.errors and share == 0:
                     yield d, "error", 0, 0, 0, 0, 0, 0, None, str(e), None
                 continue
             for name, is_dir in found:
@@ -117,7 +127,7 @@ class TreeReader(DataSourceReader):
                 if self.may_hold(path, is_dir):
                     yield from rows(path)
                     if is_dir:
-                        todo.append(path)
+                        todo.append((path, 0, 1))
 
 
 class TreeSource(DataSource):

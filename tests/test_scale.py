@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy import storage
 from canopy.engine import Engine
 from canopy.plans import fixtures as fx
+from canopy.sources import tree
 
 ROWS = 12_000
 
@@ -41,3 +43,42 @@ def test_record_snapshot_without_rows(spark, tmp_path):
     engine, path = Engine(spark), str(tmp_path / "snapshot")
     engine.save_snapshot(snapshot(spark, 0), path, record_format=True)
     assert engine.load_snapshot(path).isEmpty()
+
+
+def test_plan_of_a_wide_directory_lists_few_entries(tmp_path):
+    wide = tmp_path / "wide"
+    (wide / "below" / "deeper").mkdir(parents=True)
+    for i in range(2000):
+        (wide / f"f{i}").write_text("")
+    (wide / "below" / "deeper" / "x").write_text("")
+    reader = tree.TreeReader({"root": str(tmp_path), "partitions": 4})
+    parts = reader.partitions()
+    assert sum(len(p.shallow) + len(p.deep) for p in parts) < 100
+    each = [[r[0] for r in reader.read(p)] for p in parts]
+    assert sorted(p for e in each for p in e) == sorted(["", "wide", "wide/below", "wide/below/deeper", "wide/below/deeper/x", *[f"wide/f{i}" for i in range(2000)]])
+    assert max(map(len, each)) < 1000
+
+
+def test_wide_directory_that_goes_is_reported_once(tmp_path):
+    (tmp_path / "wide").mkdir()
+    for i in range(300):
+        (tmp_path / "wide" / f"f{i}").write_text("")
+    reader = tree.TreeReader({"root": str(tmp_path), "partitions": 4, "errors": "rows", "hash": "none"})
+    parts = reader.partitions()
+    for i in range(300):
+        (tmp_path / "wide" / f"f{i}").unlink()
+    (tmp_path / "wide").rmdir()
+    found = [r for p in parts for r in reader.read(p)]
+    assert [r[0] for r in found if r[1] == "error" and "wide" in r[0] and r[0] == "wide"] == ["wide", "wide"]  # its own entry, and what it held
+
+
+def test_batches_of_texts_are_bounded(spark):
+    texts = spark.range(400).repartition(1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert storage.in_arrow(texts, run, "n long").agg(F.max("n")).first()[0] < 2 * storage.ARROW_BYTES
