@@ -268,16 +268,16 @@ class Engine:
         if os.path.isdir(diff):
             return self._table(diff, "diff", CHANGES)
         magics = self.magics
-        files = self.spark.createDataFrame([(p,) for p in detect_chunks(diff)], "file string")
+        chunks = detect_chunks(diff)
+        files = self.spark.createDataFrame([(p,) for p in chunks], "file string")
 
         def run(batches):
-            import pandas as pd
-
-            for b in batches:
-                for p in b.file:
-                    yield pd.DataFrame(list(wire.read_changes(p, magics=magics)), columns=CHANGES.names)
+            rows = (r for b in batches for p in b.column(0).to_pylist() for r in wire.read_changes(p, magics=magics))
+            for part in batched(rows, BATCH):
+                yield arrow_rows(part, CHANGES)
 
-        return files.repartition(files.count()).mapInPandas(run, CHANGES)
+        # Small files share a task; their number grows with the diff.
+        return storage.in_arrow(files.repartition(min(len(chunks), 4 * self.spark.sparkContext.defaultParallelism)), run, CHANGES)
 
     def apply(self, root: str, diff: str, source: DataFrame | None = None) -> dict:
         """Change the tree under root; with `source`, only if the diff was made from that snapshot."""

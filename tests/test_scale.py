@@ -72,6 +72,19 @@ def test_wide_directory_that_goes_is_reported_once(tmp_path):
     assert [r[0] for r in found if r[1] == "error" and "wide" in r[0] and r[0] == "wide"] == ["wide", "wide"]  # its own entry, and what it held
 
 
+def test_small_files_of_a_diff_share_tasks(spark, tmp_path):
+    engine, root, out = Engine(spark), tmp_path / "root", tmp_path / "out"
+    root.mkdir(), out.mkdir()
+    engine.snapshot(str(root), f"{out}/old", record_format=True)
+    for i in range(150):
+        (root / f"f{i}").write_text("x" * 100)
+    engine.diff(str(root), f"{out}/old", f"{out}/diff", f"{out}/new", split_size=250, record_format=True)
+    changes = engine.load_changes(f"{out}/diff")
+    assert len([x for x in os.listdir(out) if x.startswith("diff.")]) > 64
+    assert changes.where("op = 'added'").count() == 150
+    assert changes.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_batches_of_texts_are_bounded(spark):
     texts = spark.range(400).repartition(1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
 
